@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import language_id, sharding, token_counts
+from . import decontamination, edit_fingerprint, language_id, secrets, sharding, token_counts
 
 QUERIES = {
+    "op1_edit_fingerprint": edit_fingerprint.op1_edit_fingerprint,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_rendezvous_sharding": sharding.op3_rendezvous_sharding,
     "op4_language_id": language_id.op4_language_id,
+    "op7_decontamination": decontamination.op7_decontamination,
+    "op9_secret_scan": secrets.op9_secret_scan,
 }
 
 ORACLES = {
