@@ -23,8 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one set here if there is none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        sc = spark.sparkContext
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        where = sc._jsc.sc().getCheckpointDir().get()
     return where.rstrip("/")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, edit_fingerprint, language_id, secrets, sharding, token_counts
+from . import decontamination, edit_fingerprint, language_id, secrets, sharding, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_edit_fingerprint": edit_fingerprint.op1_edit_fingerprint,
@@ -10,9 +10,12 @@ QUERIES = {
     "op3_rendezvous_sharding": sharding.op3_rendezvous_sharding,
     "op4_language_id": language_id.op4_language_id,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_warc": warc.op8_warc,
     "op9_secret_scan": secrets.op9_secret_scan,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {
     "op3_rendezvous_sharding": sharding.ORACLE,
+    "op8_warc": warc.ORACLE,
 }
