@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, edit_fingerprint, language_id, secrets, sharding, token_counts, toxicity, warc
+from . import decontamination, edit_fingerprint, jaccard_join, language_id, mixing, secrets, sharding, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_edit_fingerprint": edit_fingerprint.op1_edit_fingerprint,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_rendezvous_sharding": sharding.op3_rendezvous_sharding,
     "op4_language_id": language_id.op4_language_id,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_mixing": mixing.op6_mixing,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_warc": warc.op8_warc,
     "op9_secret_scan": secrets.op9_secret_scan,
