@@ -307,10 +307,16 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             phrases = sent.value
             for part in gathered(batches, text, SHARD):
-                texts = part.column(text).to_pylist()
-                _, spans, _ = scan(texts, phrases)
-                if any(map(len, spans)):
-                    clean = [cut_words(t, x) if len(x) else t for t, x in zip(texts, spans, strict=True)]
+                clean = part.column(text).to_pylist()
+                changed = False
+                at = list(range(len(clean)))
+                while at:  # what a cut brings together may be a phrase again
+                    _, spans, _ = scan([clean[i] for i in at], phrases)
+                    at = [i for i, x in zip(at, spans, strict=True) if len(x)]
+                    for i, x in zip(at, [x for x in spans if len(x)], strict=True):
+                        clean[i] = cut_words(clean[i], x)
+                        changed = True
+                if changed:
                     part = part.set_column(part.schema.get_field_index(text), part.schema.field(text), pa.array(clean, part.schema.field(text).type))
                 yield part
 
