@@ -113,15 +113,15 @@ def join16_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.interpolated(points.select("u", "t"), frames, ["u"]).select("u", ((F.col("t") + 1) * 2).cast("long").alias("h"), "value")
 
 
-REQUESTS = "rq AS (SELECT event_id AS id, user_id AS uid, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_type END AS model FROM events WHERE event_id % 2 = 0), rs AS (SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN -1 ELSE user_id END AS uid, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_type END AS model, value FROM events WHERE event_id % 3 = 0)"
+REQUESTS = "rq AS (SELECT event_id AS id, user_id AS uid, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_type END AS model FROM events), rs AS (SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN -1 ELSE user_id END AS uid, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_type END AS model, value FROM events)"
 
 
 @query(f"WITH {REQUESTS} SELECT rq.id, rs.value FROM rq JOIN rs ON rq.id = rs.id AND rq.uid = rs.uid AND rq.model IS NOT DISTINCT FROM rs.model")
 def join17_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     model = F.when(F.col("event_id") % 9 != 0, F.col("event_type"))
-    rq = ev.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), F.col("user_id").alias("uid"), model.alias("model"))
-    rs = ev.where("event_id % 3 = 0").select(F.col("event_id").alias("id2"), F.when(F.col("event_id") % 11 == 0, -1).otherwise(F.col("user_id")).alias("uid2"), model.alias("model2"), "value")
+    rq = ev.select(F.col("event_id").alias("id"), F.col("user_id").alias("uid"), model.alias("model"))
+    rs = ev.select(F.col("event_id").alias("id2"), F.when(F.col("event_id") % 11 == 0, -1).otherwise(F.col("user_id")).alias("uid2"), model.alias("model2"), "value")
     return rq.join(rs, (F.col("id") == F.col("id2")) & (F.col("uid") == F.col("uid2")) & F.col("model").eqNullSafe(F.col("model2"))).select("id", "value")
 
 

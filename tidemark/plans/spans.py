@@ -57,32 +57,32 @@ def win17_broken_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.broken_tiles(clips(spark, sf_dir).withColumn("off", moved), ["doc"]).select("doc", "ord", (F.col("off") - F.col("expected")).alias("by"))
 
 
-@query(f"WITH {INTERVALS} SELECT a.u, a.id, c.id AS id2, greatest(a.b, c.b) AS b, least(a.e, c.e) AS e FROM iv a JOIN iv c ON a.u = c.u AND a.b < c.e AND c.b < a.e WHERE a.id % 3 = 0 AND c.id % 3 = 1")
+@query(f"WITH {INTERVALS} SELECT a.u, a.id, c.id AS id2, greatest(a.b, c.b) AS b, least(a.e, c.e) AS e FROM iv a JOIN iv c ON a.u = c.u AND a.b < c.e AND c.b < a.e AND a.id < c.id")
 def join9_span_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     iv = intervals(spark, sf_dir)
-    right = iv.where("id % 3 = 1").select("u", F.col("id").alias("id2"), F.col("b").alias("b2"), F.col("e").alias("e2"))
-    hit = I.overlaps(iv.where("id % 3 = 0").select("u", "id", "b", "e"), right, ["u"], 600_000_000)
-    return hit.select("u", "id", "id2", F.greatest("b", "b2").alias("b"), F.least("e", "e2").alias("e"))
+    right = iv.select("u", F.col("id").alias("id2"), F.col("b").alias("b2"), F.col("e").alias("e2"))
+    hit = I.overlaps(iv.select("u", "id", "b", "e"), right, ["u"], 600_000_000)
+    return hit.where("id < id2").select("u", "id", "id2", F.greatest("b", "b2").alias("b"), F.least("e", "e2").alias("e"))
 
 
-@query(f"WITH {INTERVALS} SELECT u, id FROM iv a WHERE id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM iv c WHERE c.id % 3 = 1 AND a.u = c.u AND a.b < c.e AND c.b < a.e)")
+@query(f"WITH {INTERVALS} SELECT u, id FROM iv a WHERE NOT EXISTS (SELECT 1 FROM iv c WHERE c.id <> a.id AND a.u = c.u AND a.b < c.e AND c.b < a.e)")
 def join10_span_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     iv = intervals(spark, sf_dir)
-    right = iv.where("id % 3 = 1").select("u", F.col("b").alias("b2"), F.col("e").alias("e2"))
-    left = iv.where("id % 3 = 0").select("u", "id", "b", "e")
-    hit = I.overlaps(left, right, ["u"], 600_000_000).select("u", "id").distinct()
+    right = iv.select("u", F.col("id").alias("id2"), F.col("b").alias("b2"), F.col("e").alias("e2"))
+    left = iv.select("u", "id", "b", "e")
+    hit = I.overlaps(left, right, ["u"], 600_000_000).where("id <> id2").select("u", "id").distinct()
     return left.join(hit, ["u", "id"], "left_anti").select("u", "id")
 
 
-@query(f"""WITH {INTERVALS}, r AS (SELECT *, event_type AS text FROM iv WHERE id % 2 = 0), x AS (SELECT u, b, CASE WHEN id % 3 = 0 THEN e + 1 ELSE e END AS e, event_type AS text, id % 5 <> 0 AS enabled, id % 7 <> 0 AS exact FROM iv WHERE id % 2 = 0 AND u % 4 <> 0),
+@query(f"""WITH {INTERVALS}, r AS (SELECT *, event_type AS text FROM iv), x AS (SELECT u, b, CASE WHEN id % 3 = 0 THEN e + 1 ELSE e END AS e, event_type AS text, id % 5 <> 0 AS enabled, id % 7 <> 0 AS exact FROM iv WHERE event_type <> 'click'),
 n AS (SELECT u, count(*) AS n FROM r GROUP BY u), m AS (SELECT u, count(*) AS existing FROM x GROUP BY u),
 s AS (SELECT u, count(*) AS k FROM r WHERE EXISTS (SELECT 1 FROM x WHERE x.u = r.u AND x.b = r.b AND x.e = r.e AND x.text = r.text AND enabled AND exact) GROUP BY u),
 h AS (SELECT u, count(*) AS k FROM r WHERE EXISTS (SELECT 1 FROM x WHERE x.u = r.u AND r.b < x.e AND x.b < r.e) GROUP BY u)
 SELECT n.u, CASE WHEN coalesce(s.k, 0) = n AND n = coalesce(existing, 0) THEN 'duplicate' WHEN coalesce(h.k, 0) > 0 THEN 'conflict' ELSE 'clear' END AS status, coalesce(s.k, 0) AS exact_matches, coalesce(h.k, 0) AS overlapping, coalesce(existing, 0) AS existing
 FROM n LEFT JOIN m USING (u) LEFT JOIN s USING (u) LEFT JOIN h USING (u)""")
 def join8_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    iv = intervals(spark, sf_dir).where("id % 2 = 0").withColumnRenamed("event_type", "text")
-    old = iv.where("u % 4 <> 0").select("u", "b", F.when(F.col("id") % 3 == 0, F.col("e") + 1).otherwise(F.col("e")).alias("e"), "text", (F.col("id") % 5 != 0).alias("enabled"), (F.col("id") % 7 != 0).alias("exact"))
+    iv = intervals(spark, sf_dir).withColumnRenamed("event_type", "text")
+    old = iv.where("text <> 'click'").select("u", "b", F.when(F.col("id") % 3 == 0, F.col("e") + 1).otherwise(F.col("e")).alias("e"), "text", (F.col("id") % 5 != 0).alias("enabled"), (F.col("id") % 7 != 0).alias("exact"))
     return I.collision(iv, old, ["u"])
 
 
