@@ -241,18 +241,18 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that stand for their classes, one of each, with the columns they came with. Wordless rows all stay."""
-    found = near_classes(docs, key, text, threshold).select(F.col(key).alias("_k"), F.col("th").alias("_t"), "first")
-    gone = found.where(~F.col("first")).select("_k", "_t").distinct()
-    same = lambda: F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_t"))
+    found = near_classes(docs, key, text, threshold).select(F.col(key).alias("_class_key"), F.col("th").alias("_class_text"), "first")
+    gone = found.where(~F.col("first")).select("_class_key", "_class_text").distinct()
+    same = lambda: F.col(key).eqNullSafe(F.col("_class_key")) & (F.xxhash64(text) == F.col("_class_text"))
     kept = docs.join(gone, same(), "left_anti")
     # Rows that repeat key and text of a class's first row: one of them stays.
-    twice = cut(found.where(F.col("first") & (F.col("_t") != F.xxhash64(F.lit(None).cast("string")))).groupBy("_k", "_t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_k", "_t"))
+    twice = cut(found.where(F.col("first") & (F.col("_class_text") != F.xxhash64(F.lit(None).cast("string")))).groupBy("_class_key", "_class_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_class_key", "_class_text"))
     if not twice.limit(1).count():
         return kept
     from pyspark.sql import Window
 
-    again = kept.join(twice, same(), "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(F.lit(1))))
-    return kept.join(twice, same(), "left_anti").unionByName(again.where("_n = 1").drop("_n"))
+    again = kept.join(twice, same(), "left_semi").withColumn("_class_row", F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(F.lit(1))))
+    return kept.join(twice, same(), "left_anti").unionByName(again.where("_class_row = 1").drop("_class_row"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str = "
     if not total:
         return Classifier(domains, [1 / len(domains)] * len(domains), [[0.0] * len(domains)] * len(MARKS), None)
     some = known.where(keyed_uniform(F.col("_k"), F.lit("mix")) < min(1.1, SAMPLE / total))
-    sample = docs.join(F.broadcast(some), F.col(key) == F.col("_k"))
+    sample = docs.select(key, text).join(F.broadcast(some), F.col(key) == F.col("_k"))
     tokens = words(sample, key, text, F.col("_d").alias("d")).where("token = 1")
     each = [F.count_if(F.col("d") == x).cast("double").alias(f"c{i}") for i, x in enumerate(domains)]
     counts = cut(tokens.groupBy("bucket").agg(*each))
@@ -151,10 +151,10 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key:
 
 def apply_rates(docs: DataFrame, rated: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row of docs as often as its copies say, with the columns it came with."""
-    rates = rated.select(F.col(key).alias("_k"), F.col("th").alias("_t"), "copies").dropDuplicates(["_k", "_t"])
-    columns = docs.columns
-    joined = docs.join(rates, F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_t")))
-    return joined.where("copies > 0").withColumn("_c", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*columns)
+    # Long names, so that no column of docs is meant by mistake.
+    rates = rated.select(F.col(key).alias("_rate_key"), F.col("th").alias("_rate_text"), F.col("copies").alias("_rate_copies")).dropDuplicates(["_rate_key", "_rate_text"])
+    joined = docs.join(rates, F.col(key).eqNullSafe(F.col("_rate_key")) & (F.xxhash64(text) == F.col("_rate_text")))
+    return joined.where("_rate_copies > 0").withColumn("_rate_copy", F.explode(F.array_repeat(F.lit(0), F.col("_rate_copies")))).select(*docs.columns)
 
 
 def domains_of(labels: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -219,6 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rate = F.when(F.col("_y") == 1, min(1.1, MOST_TOXIC / bad)).otherwise(min(1.1, MOST_CLEAN / good))
     some = known.where(keyed_uniform(F.col("_k")) < rate)
     # Bounded by MOST_TOXIC and MOST_CLEAN, whatever the tables hold.
+    docs = docs.select(key, text)
     sample = docs.join(F.broadcast(some), F.col(key) == F.col("_k")).select(F.col(key), F.col(text), F.col("_y"))
     lexicon = lexicon_of(sample, text, "_y")
     got = feature_rows(docs.join(F.broadcast(some), F.col(key) == F.col("_k"), "left_semi"), lexicon, key, text).join(F.broadcast(some), F.col("key") == F.col("_k")).select("key", "value", "_y", keyed_uniform(F.col("key"), F.lit("calibrate")).alias("u")).orderBy("key", "value").collect()
