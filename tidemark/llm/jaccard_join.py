@@ -34,8 +34,8 @@ from .shingles import Shingled, mix
 THRESHOLD = 0.8
 TREES, LONGEST, TARGET = 32, 8, 0.999
 BINS = TREES * LONGEST
-#: Shingles that a block of a component holds, about.
-BLOCK = 300_000
+#: Shingles, and classes, that a block of a component holds, about.
+BLOCK, BLOCK_ROWS = 100_000, 256
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _ORDER = _rng.integers(1 << 30, size=(BINS, BINS), dtype=np.int32)
@@ -220,7 +220,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     edges = nodes.join(shared, "node").where("h1 <> lead").select(F.col("h1").alias("a"), F.col("lead").alias("b")).distinct()
     labels = components(edges)
     members = cut(classes.join(labels, classes.h1 == labels.node).select("h1", "h2", "key", "th", "copies", "words", "label"))
-    sizes = members.groupBy("label").agg(F.ceil(F.sum("words") / BLOCK).cast("int").alias("blocks"))
+    sizes = members.groupBy("label").agg(F.ceil(F.greatest(F.sum("words") / BLOCK, F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"))
     found = cut(linked(members.join(sizes, "label").select("key", "th", "h1", "h2", "copies", "label", "blocks"), docs, key, text, threshold))
     counts = found.groupBy("h1", "h2").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("blocks").alias("blocks"))
     # Where one block held a whole component, its roots are final; else roots of several blocks are joined.
