@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keyed_uniform, read, stored
+from .common import cut, drop_stored, keyed_uniform, read, stored
 
 SAMPLE = 8000
 BUCKETS = 1 << 18
@@ -124,6 +124,7 @@ def fit_rates(table: DataFrame, targets: list[float], rounds: int = ROUNDS, clos
         v = [x / size for x in u]
     step = 1.0 / (size * 1.01)
     rate: Column = F.lit(1.0)
+    written: DataFrame | None = None
     for k in range(rounds):
         got = table.agg(*[F.sum(F.col("tokens") * F.col(f"p{i}") * rate).alias(f"a{i}") for i in n]).first()
         share = [float(got[i]) / total for i in n]
@@ -133,7 +134,10 @@ def fit_rates(table: DataFrame, targets: list[float], rounds: int = ROUNDS, clos
         move = sum((F.col(f"p{i}") * (step * error[i] / own[i]) for i in n), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), rate - move)
         if k % CHAIN == CHAIN - 1:
-            table = stored(table.withColumn("rate", rate), "rates")
+            table, last = stored(table.withColumn("rate", rate), "rates"), written
+            written = table
+            if last is not None:
+                drop_stored(last)
             rate = F.col("rate")
     return table.withColumn("rate", rate), share
 
