@@ -110,28 +110,27 @@ def fit_rates(table: DataFrame, targets: list[float], rounds: int = ROUNDS, clos
     n = range(len(targets))
     weight = sum(targets)
     want = [x / weight for x in targets]
-    base = table.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * F.col(f"p{i}")).alias(f"a{i}") for i in n], *[F.sum(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in n for j in n if j >= i]).first()
+    base = table.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * F.col(f"p{i}")).alias(f"a{i}") for i in n]).first()
     total = float(base["n"] or 0)
     if not total:
         return table.withColumn("rate", F.lit(1.0)), [0.0] * len(targets)
     own = [max(float(base[f"a{i}"]) / total, 1e-9) for i in n]
-    # A step's length is 1 / the largest eigenvalue of the scaled Gram matrix, by power iteration.
-    gram = [[float(base[f"g{min(i, j)}_{max(i, j)}"]) / total / math.sqrt(own[i] * own[j]) for j in n] for i in n]
-    v = [1.0] * len(targets)
-    for _ in range(60):
-        u = [sum(gram[i][j] * v[j] for j in n) for i in n]
-        size = max(map(abs, u)) or 1.0
-        v = [x / size for x in u]
-    step = 1.0 / (size * 1.01)
+    # Posteriors add up to one, so the Gram matrix over its row sums (the domains' shares) has no eigenvalue above 1:
+    # residuals over shares can be taken whole. Shares of the documents with a rate above 0 are those that a step can
+    # move; where such a step made things worse (documents came back), the next one goes by the shares of all.
+    worst = math.inf
     rate: Column = F.lit(1.0)
     written: DataFrame | None = None
     for k in range(rounds):
-        got = table.agg(*[F.sum(F.col("tokens") * F.col(f"p{i}") * rate).alias(f"a{i}") for i in n]).first()
-        share = [float(got[i]) / total for i in n]
+        got = table.agg(*[F.sum(F.col("tokens") * F.col(f"p{i}") * rate).alias(f"a{i}") for i in n], *[F.sum(F.when(rate > 0, F.col("tokens") * F.col(f"p{i}")).otherwise(0.0)).alias(f"m{i}") for i in n]).first()
+        share = [float(got[f"a{i}"]) / total for i in n]
+        movable = [max(float(got[f"m{i}"]) / total, 1e-9) for i in n]
         error = [share[i] - want[i] for i in n]
         if max(abs(e) / max(w, 1e-3) for e, w in zip(error, want, strict=True)) < close or k == rounds - 1:
             break
-        move = sum((F.col(f"p{i}") * (step * error[i] / own[i]) for i in n), F.lit(0.0))
+        size = sum(e * e / o for e, o in zip(error, own, strict=True))
+        scale, worst = (movable if size < worst else own), size
+        move = sum((F.col(f"p{i}") * (error[i] / scale[i]) for i in n), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), rate - move)
         if k % CHAIN == CHAIN - 1:
             table, last = stored(table.withColumn("rate", rate), "rates"), written
