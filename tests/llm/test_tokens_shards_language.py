@@ -91,6 +91,22 @@ def test_language_accuracy(spark, sf_dir):
     assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
 
 
+def test_language_of_short_clean_documents(spark):
+    docs = common.read(spark, "/root/testdata/sf0.1", "documents")
+    made = language_id.learn(language_id.training_rows(docs))
+    short = docs.where((F.size(F.split(F.trim("text"), r"\s+")) <= 10) & F.col("text").rlike("[A-Za-z]")).cache()
+    rows = language_id.identify(short, made).join(short.select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) > 100 and language_id.drop_rejected(short, made).count() == len(rows)
+    told = [r for r in rows if r.second_bytes > r.best_bytes]
+    assert len(told) >= 0.9 * len(rows) and sum(r.lang == r.lang_pred for r in told) >= 0.97 * len(told)
+
+
+def test_language_drops_narrow_texts_of_many_blocks():
+    made = language_id.compressors([b"the quick brown fox jumps over " * 9, b"der schnelle braune fuchs springt " * 9])
+    assert language_id.kept("Zq.", made) and language_id.kept("The quick brown fox jumps", made)
+    assert not language_id.kept("zqxw " * 1000, made) and not language_id.kept("12 !", made) and not language_id.kept(None, made)
+
+
 def test_language_edge_cases(tiny, nothing):
     made = language_id.learn(tiny)
     assert set(made) == {"de", "en"}

@@ -2,8 +2,11 @@
 
 Every learned language has a raw-content zstandard dictionary of sample text. A text is cut into blocks;
 each block is compressed with each dictionary, and the language whose compressed blocks are smallest in
-total is predicted. A text is rejected when the second smallest total is close to the smallest, or when
-it has no letter at all.
+total is predicted. A text of one block is too short for that, because zstandard stores what it can make
+little of as it is, in the same bytes for all languages: it is compressed behind the end of the dictionary, at
+a higher level, and the bytes of that end alone are taken off. A text is rejected when the second smallest
+total is close to the smallest, or when it has no letter at all. drop_rejected keeps a text of one block
+whose best totals are equal: that is no evidence against it, such as a single word that no dictionary has.
 
 Learning uses a bounded sample: DOCS_PER_LANGUAGE rows of each language, those with the least key hash,
 and DICTIONARY_BYTES of each dictionary, taken in equal shares from them. Everything else covers all rows.
@@ -27,6 +30,9 @@ DOCS_PER_LANGUAGE = 256
 DICTIONARY_BYTES = 96 * 1024
 BLOCK = 1024
 LEVEL = 5
+#: For texts of one block: the level, and the bytes of the dictionary's end that they are put behind.
+SHORT_LEVEL = 12
+TAIL = 256
 #: Rejected if second / best - 1 of the compressed totals is below this.
 MARGIN = 0.01
 UNKNOWN = "und"
@@ -64,28 +70,55 @@ def normal(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split())
 
 
-def compressors(contents: list[bytes]) -> list:
-    import zstandard
+class Coder:
+    """Compresses with one language's dictionary."""
 
-    made = []
-    for raw in contents:
-        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False))
-    return made
+    def __init__(self, raw: bytes) -> None:
+        import zstandard
 
+        def made(level: int) -> zstandard.ZstdCompressor:
+            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            return zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False)
 
-def sizes(text: str, by: list, block: int = BLOCK) -> list[int]:
-    """Bytes of all blocks of a text together, for each compressor."""
+        self.blocks, self.short = made(LEVEL), made(SHORT_LEVEL)
+        self.tail = raw[-TAIL:]
+        self.tail_bytes = len(self.short.compress(self.tail))
+
+    def size(self, cuts: list[bytes]) -> int:
+        if len(cuts) == 1:
+            return max(1, len(self.short.compress(self.tail + cuts[0] + b" ")) - self.tail_bytes)
+        return sum(map(len, map(self.blocks.compress, cuts)))
+
+
+def compressors(contents: list[bytes]) -> list[Coder]:
+    return [Coder(raw) for raw in contents]
+
+
+def cuts_of(text: str, block: int = BLOCK) -> list[bytes]:
     raw = normal(text)
     n = len(raw)
     parts = max(1, -(-n // block))
-    cuts = [raw[n * i // parts : n * (i + 1) // parts] for i in range(parts)]
-    return [sum(map(len, map(c.compress, cuts))) for c in by]
+    return [raw[n * i // parts : n * (i + 1) // parts] for i in range(parts)]
+
+
+def sizes(text: str, by: list[Coder], block: int = BLOCK) -> list[int]:
+    """Bytes of all blocks of a text together, for each compressor."""
+    cuts = cuts_of(text, block)
+    return [c.size(cuts) for c in by]
+
+
+def kept(text: str | None, by: list[Coder], margin: float = MARGIN) -> bool:
+    """Whether the pipeline keeps a text: the best language is ahead by the margin, or one block tells nothing."""
+    if not by or not text or not any(map(str.isalpha, text)):
+        return False
+    cuts = cuts_of(text)
+    got = sorted(c.size(cuts) for c in by)
+    return len(got) < 2 or got[1] / got[0] - 1 >= margin or (len(cuts) == 1 and got[0] == got[1])
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id", text: str = "text", margin: float = MARGIN) -> DataFrame:
-    """key, lang_pred, score, rejected, the compressed bytes of the best and the second. score = min(1, (second / best - 1) / 0.2)."""
+    """key, lang_pred, score, rejected, the compressed bytes (of one block: those that it adds) of the best and the second. score = min(1, (second / best - 1) / 0.2)."""
     names = sorted(dictionaries)
     sent = docs.sparkSession.sparkContext.broadcast([dictionaries[k] for k in names])
     kind = docs.schema[key].dataType.simpleString()
@@ -117,17 +150,13 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id
 
 
 def drop_rejected(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN) -> DataFrame:
-    """The rows whose language is not rejected, with the columns they came with."""
+    """The rows whose language is not rejected, and those of one block that tell nothing, with the columns they came with."""
     sent = docs.sparkSession.sparkContext.broadcast([dictionaries[k] for k in sorted(dictionaries)])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = compressors(sent.value)
         for part in gathered(batches, text):
-            good = []
-            for t in part.column(text).to_pylist():
-                got = sorted(sizes(t, made)) if made and t and any(map(str.isalpha, t)) else []
-                good.append(bool(got) and (len(got) < 2 or got[1] / got[0] - 1 >= margin))
-            yield part.filter(pa.array(good, pa.bool_()))
+            yield part.filter(pa.array([kept(t, made, margin) for t in part.column(text).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
