@@ -76,6 +76,19 @@ def test_removal(spark):
     assert decontamination.digest(clean).where("contaminated").count() == 0
 
 
+def test_removal_in_many_blocks_agrees_with_one(spark, monkeypatch):
+    w, a = [f"w{i}" for i in range(1, 21)], [f"a{i}" for i in range(1, 11)]
+    b = [f"b{i}" for i in range(1, 11)]
+    items = [" ".join(x) for x in (w[:12], a, w[7:], b)]
+    texts = [f"x {' '.join(w)} y", f"x {' '.join(a[:5] + b + a[5:])} y", f"{' '.join(a + w + b)}, end", "nothing of this", None, f"x {' '.join(w[:9])} y"]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), spark.createDataFrame(list(enumerate(items)), "item_id int, text string").coalesce(1)
+    cleaned = lambda: {r.doc_id: r.text for r in decontamination.remove_spans(docs, bench).collect()}
+    one = cleaned()
+    assert one == {0: "x  y", 1: "x  y", 2: ", end", 3: "nothing of this", 4: None, 5: texts[5]}
+    monkeypatch.setattr(decontamination.blocks, "__defaults__", (12,))
+    assert len(list(decontamination.blocks(bench, "item_id", "text"))) == 4 and cleaned() == one
+
+
 def test_contamination_edge_cases(tiny, nothing, spark):
     bench = spark.createDataFrame([("b", "one"), ("a", "One!"), (None, "x")], "item_id string, text string")
     rows = decontamination.digest(decontamination.contamination(tiny, bench)).collect()

@@ -8,7 +8,7 @@ searched backwards, all at once; occurrences are located by walking to sampled s
 spans found are merged. Every document is indexed whole, no row moves, and nothing is shuffled.
 
 Benchmark phrases are sent to the executors in blocks of at most BLOCK_WINDOWS windows; further blocks
-are further passes whose spans are merged by document row, so a benchmark of any size works.
+are further passes over the same texts, whose spans are merged by document row, so a benchmark of any size works.
 
 Defined results: words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased;
 NULL and empty texts have no words and no hits; items without words match nothing; items that repeat an
@@ -297,31 +297,45 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows, with the words of every span cut out of the text, from the first word's begin to the last word's end.
 
-    What stood around a span stays. Rows without a span are returned as they are.
+    What stood around a span stays. Rows without a span are returned as they are. The spans of all blocks of phrases
+    are found on the same text, merged and cut once; what a cut brings together is looked for again in all blocks.
     """
     sc = docs.sparkSession.sparkContext
-    out = docs
-    for items in blocks(benchmark, item, item_text):
-        sent = sc.broadcast(Phrases(items))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            phrases = sent.value
-            for part in gathered(batches, text, SHARD):
-                clean = part.column(text).to_pylist()
-                changed = False
-                at = list(range(len(clean)))
-                while at:  # what a cut brings together may be a phrase again
-                    _, spans, _ = scan([clean[i] for i in at], phrases)
-                    at = [i for i, x in zip(at, spans, strict=True) if len(x)]
-                    for i, x in zip(at, [x for x in spans if len(x)], strict=True):
-                        clean[i] = cut_words(clean[i], x)
-                        changed = True
-                if changed:
-                    part = part.set_column(part.schema.get_field_index(text), part.schema.field(text), pa.array(clean, part.schema.field(text).type))
-                yield part
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    sent = [sc.broadcast(Phrases(items)) for items in blocks(benchmark, item, item_text)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in gathered(batches, text, SHARD):
+            clean = part.column(text).to_pylist()
+            changed = False
+            at = list(range(len(clean)))
+            while at:  # what a cut brings together may be a phrase again
+                found: dict[int, list[np.ndarray]] = {}
+                for one in sent:
+                    for i, x in zip(at, scan([clean[i] for i in at], one.value)[1], strict=True):
+                        if len(x):
+                            found.setdefault(i, []).append(x)
+                    if len(sent) > 1 and getattr(one, "_path", None):
+                        vars(one).pop("_value", None)  # a worker holds one block at a time and reads it again from its file
+                for i, spans in found.items():
+                    clean[i] = cut_words(clean[i], merged_spans(spans))
+                    changed = True
+                at = list(found)
+            if changed:
+                part = part.set_column(part.schema.get_field_index(text), part.schema.field(text), pa.array(clean, part.schema.field(text).type))
+            yield part
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def merged_spans(parts: list[np.ndarray]) -> np.ndarray:
+    """Spans of several blocks as one block gives them: those that overlap or touch are one."""
+    out: list[list[int]] = []
+    for b, e in sorted(x for part in parts for x in part.tolist()):
+        if out and b <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([b, e])
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def cut_words(text: str, spans: np.ndarray) -> str:
