@@ -1,10 +1,10 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard self-join by fixed-depth MinHash banding, with exact verification.
 
 Each text has a MinHash signature of TREES labels of up to LONGEST hashes (one-permutation hashing: a
-shingle falls into one bin; an empty bin takes over the filled bin of least shared random rank). A tree is
-the trie of all texts' labels; two texts meet in it as deep as their labels agree. Prefixes are shortened
-from LONGEST hash by hash until texts of the threshold's similarity meet in some tree with probability
-TARGET; what a longer prefix finds, the shorter finds too. Then:
+shingle falls into one bin; an empty bin takes over the filled bin of least shared random rank). Two texts
+meet in a band if their labels agree in the first prefix_length() hashes: the nodes of an LSH forest at that one
+depth, without its tries. The depth follows from the constants, not from the data: the greatest at which texts
+of the threshold's similarity meet in some band with probability TARGET. Then:
 
 1. Equal word sequences become one class (copies are counted, not paired).
 2. A trie node links its texts to its least one. Nodes are reduced before the shuffle, so a node may
