@@ -101,6 +101,15 @@ def test_language_of_short_clean_documents(spark):
     assert len(told) >= 0.9 * len(rows) and sum(r.lang == r.lang_pred for r in told) >= 0.97 * len(told)
 
 
+def test_language_learns_from_all_over_each_text(spark):
+    rng = random.Random(3)
+    body = lambda: "".join(rng.choice("abcdefgh ") for _ in range(6000))
+    rows = [(i, "xx", "header " * 80 + body() + " farewell") for i in range(300)] + [(1000 + i, "yy", body()) for i in range(8)]
+    made = language_id.learn(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert made["xx"].count(b"farewell") > 200 and made["xx"].count(b"header") < 256 * 30
+    assert 40_000 < len(made["yy"]) <= language_id.DICTIONARY_BYTES
+
+
 def test_language_drops_narrow_texts_of_many_blocks():
     made = language_id.compressors([b"the quick brown fox jumps over " * 9, b"der schnelle braune fuchs springt " * 9])
     assert language_id.kept("Zq.", made) and language_id.kept("The quick brown fox jumps", made)

@@ -28,6 +28,8 @@ from .common import crc_mod, gathered, keyed_uniform, read
 
 DOCS_PER_LANGUAGE = 256
 DICTIONARY_BYTES = 96 * 1024
+#: Characters that are taken from one place of a sampled text, about.
+PIECE = 96
 BLOCK = 1024
 LEVEL = 5
 #: For texts of one block: the level, and the bytes of the dictionary's end that they are put behind.
@@ -49,12 +51,15 @@ def learn(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str =
     hashed = rows.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h"), keyed_uniform(F.col(key)).alias("u"))
     some = hashed.where(F.col("u") < F.element_at(rate, F.col("label")))
     first = Window.partitionBy("label").orderBy("h", "text")
-    share = max(64, size // per_language)
-    # A share of each text: pieces of 256 characters from places spread over it.
-    pieces = max(1, share // 256)
+    picked = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("label")))
+    # A share of each text, by the rows that there are: pieces of about PIECE characters, spread from its begin to its end.
+    share = F.greatest(F.lit(64), F.floor(F.lit(size) / F.col("rows")).cast("int"))
+    pieces = F.greatest(F.lit(1), F.floor(share / PIECE).cast("int"))
+    width = F.floor(share / pieces).cast("int")
     length = F.length("text")
-    cut = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(F.col("text"), (F.lit(1) + F.floor(length * i / pieces)).cast("int"), F.lit(256))), " ") if pieces > 1 else F.substring(F.col("text"), F.lit(1), F.lit(share))
-    sample = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("label", "n", F.when(length <= share, F.col("text")).otherwise(cut).alias("piece")).orderBy("label", "n").collect()
+    begin = lambda i: (F.lit(1) + F.floor((length - width) * i / F.greatest(F.lit(1), pieces - 1))).cast("int")
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.substring(F.col("text"), begin(i), width)), " ")
+    sample = picked.select("label", "n", F.when(length <= share, F.col("text")).otherwise(spread).alias("piece")).orderBy("label", "n").collect()
     out: dict[str, bytes] = {}
     for r in sample:
         out[r["label"]] = out.get(r["label"], b"") + normal(r["piece"]) + b" "
