@@ -14,8 +14,8 @@ def words_like(rng, n):
     return [f"w{rng.randrange(3000)}" for _ in range(n)]
 
 
-def brute(texts):
-    """Links and classes at similarity 0.8 of word 5-shingles."""
+def brute(texts, num=4, den=5):
+    """Links and classes at similarity num / den of word 5-shingles."""
     sets = {}
     for k, t in texts.items():
         w = (t or "").lower().encode().translate(shingles._WORDS).split()
@@ -34,7 +34,7 @@ def brute(texts):
     for k, v in sets.items():
         common_ = collections.Counter(o for g in v for o in inverted[g])
         for o, n in common_.items():
-            if o > k and 5 * n >= 4 * (len(v) + len(sets[o]) - n):
+            if o > k and den * n >= num * (len(v) + len(sets[o]) - n):
                 links[k] += 1
                 links[o] += 1
                 a, b = find(k), find(o)
@@ -97,6 +97,55 @@ def test_prefixes_shorten_to_the_target():
         assert 1 - (1 - 0.8**k) ** jaccard_join.TREES >= t > 1 - (1 - 0.8 ** (k + 1)) ** jaccard_join.TREES or k == jaccard_join.LONGEST
 
 
+def test_depths_follow_from_what_a_set_can_have():
+    for n in range(1, 40):
+        want = min(c / (n + e) for c in range(1, n + 1) for e in range(n + 1) if 5 * c >= 4 * (n + e))
+        assert abs(jaccard_join.least_similarity(n, 0.8) - want) < 1e-12
+    d = jaccard_join.depths(0.8, 0.999)
+    assert d[3] == jaccard_join.LONGEST > d[4] == d[-1] == jaccard_join.prefix_length()
+
+
+def test_runs_of_sorted_labels_are_trie_nodes():
+    rng = np.random.default_rng(5)
+    depth = rng.integers(2, 5, 300)
+    sig = rng.integers(0, 2, (300, jaccard_join.BINS), dtype=np.uint64) + np.uint64(7)
+    label = jaccard_join.labels_of(sig, depth)[:, :3].reshape(-1, 2)
+    label = label[np.lexsort((label[:, 1], label[:, 0]))]
+    levels = [tuple([r[0] >> 56, *(r[0] >> s & 16383 for s in (42, 28, 14, 0)), *(r[1] >> 4 >> s & 16383 for s in (42, 28, 14, 0))]) for r in label.tolist()]
+    nodes = collections.defaultdict(list)
+    for i, x in enumerate(levels):
+        nodes[x[: 1 + (label[i, 1] & 15)]]
+    for i, x in enumerate(levels):
+        for d in range(2, 5):
+            if x[: 1 + d] in nodes:
+                nodes[x[: 1 + d]].append(i)
+    want = np.zeros(len(label) - 1, bool)
+    for at in nodes.values():
+        assert at == list(range(at[0], at[-1] + 1))
+        want[at[0] : at[-1]] = True
+    assert (jaccard_join.matched(label, (False, False)) == want).all()
+    for i in range(len(label) - 1):
+        same = next((k for k in range(9) if levels[i][k] != levels[i + 1][k]), 9)
+        assert jaccard_join.common_levels(label[i : i + 1], label[i + 1 : i + 2])[0] == max(0, same - 1)
+
+
+@pytest.mark.parametrize(("num", "den"), [(4, 5), (3, 5), (2, 5)])
+def test_recall_at_thresholds(spark, num, den):
+    """Pairs of many similarities: the share of links found, at 0.8 and below, against brute force."""
+    rng = random.Random(num)
+    texts = {}
+    for i in range(0, 600, 2):
+        w = words_like(rng, 80)
+        texts[i] = " ".join(w)
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(80)] = "other"
+        texts[i + 1] = " ".join(w)
+    links, _ = brute(texts, num, den)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.n_links for r in jaccard_join.near_classes(docs, threshold=num / den).collect()}
+    assert all(got[k] <= links[k] for k in texts) and sum(got.values()) >= 0.995 * sum(links.values()) > 100
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101)], "a long, b long")
     assert {r.node: r.label for r in jaccard_join.components(edges).collect()} == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 102: 100}

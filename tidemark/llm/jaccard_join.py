@@ -1,22 +1,25 @@
-"""N-gram Jaccard self-join by fixed-depth MinHash banding, with exact verification.
+"""N-gram Jaccard self-join by a MinHash LSH forest, with exact verification.
 
-Each text has a MinHash signature of TREES labels of up to LONGEST hashes (one-permutation hashing: a
-shingle falls into one bin; an empty bin takes over the filled bin of least shared random rank). Two texts
-meet in a band if their labels agree in the first prefix_length() hashes: the nodes of an LSH forest at that one
-depth, without its tries. The depth follows from the constants, not from the data: the greatest at which texts
-of the threshold's similarity meet in some band with probability TARGET. Then:
+Each text has a MinHash signature of TREES labels of LONGEST hashes (one-permutation hashing: a shingle falls
+into one bin; an empty bin takes over the filled bin of least shared random rank). The labels of all texts
+are sorted, tree by tree: a sorted run of labels that share a prefix is a node of that tree's prefix trie, and
+what neighbours in the order have in common is the depth of their lowest common node. Then:
 
 1. Equal word sequences become one class (copies are counted, not paired).
-2. A trie node links its texts to its least one. Nodes are reduced before the shuffle, so a node may
-   hold any share of the rows; links make connected components of candidates.
-3. Components are verified exactly, all pairs of shingle sets inside them, in blocks of a bounded number
-   of shingles: a large component is the set of its block pairs, each a group of its own. A block
-   pair gives out a number of links and one link to a root for each class, never its pairs.
+2. Every text shortens its prefix from LONGEST until it would meet, with probability TARGET, a text of the least
+   similarity that reaches the threshold and that a set of its size can have at all: a set of three shingles
+   has none below 1, so it stays at LONGEST. The run of its prefix is matched with it in each tree.
+   Runs are found from neighbours alone, in one pass over each sorted range, and are linked to
+   their least text; ranges may cut a run anywhere, so a run may hold any share of the rows.
+3. Linked texts are components of candidates, which are verified exactly, all pairs of shingle sets inside them, in
+   blocks of a bounded number of shingles: a large component is the set of its block pairs, each a group of its own,
+   dealt in turn. A block pair gives out a number of links and one link to a root for each class, never its pairs.
 4. Verified links make the final classes.
 
 Defined results: shingles are five words, lower-cased; texts of one to four words have one shingle; NULL, empty
 and wordless texts are alone with no links; repeated rows are copies; class_id is the least key of a class,
-NULL only if all its keys are NULL. Other columns are neither read nor returned.
+NULL only if all its keys are NULL; a very long text is a slice and a block of its own. Other columns are neither
+read nor returned.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, gathered, read, slices, stored
+from .common import drop_stored, gathered, read, slices, stored
 from .shingles import Shingled, mix
 
 THRESHOLD = 0.8
@@ -36,10 +39,13 @@ TREES, LONGEST, TARGET = 32, 8, 0.999
 BINS = TREES * LONGEST
 #: Shingles, and classes, that a block of a component holds, about.
 BLOCK, BLOCK_ROWS = 100_000, 256
+#: Bits of a label's hash at one level. Four levels fill a word of a label; the tree's number leads the first, the text's depth ends the second.
+LEVEL, HALF, DEPTH_BITS = 14, 4, 4
+#: Sets of up to so many shingles have a depth of their own.
+SMALL = 64
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _ORDER = _rng.integers(1 << 30, size=(BINS, BINS), dtype=np.int32)
-_LABEL = _rng.integers(1 << 62, size=(TREES, LONGEST), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -51,6 +57,20 @@ def prefix_length(threshold: float = THRESHOLD, target: float = TARGET, trees: i
     return k
 
 
+def least_similarity(n: int, threshold: float) -> float:
+    """The least Jaccard similarity of at least the threshold that a set of n can have with any other."""
+    found = 1.0
+    for missing in range(int(n * (1 - threshold) + 1e-9) + 1):
+        more = int((n - missing) / threshold - n + 1e-9)
+        found = min(found, (n - missing) / (n + more))
+    return found
+
+
+def depths(threshold: float, target: float) -> np.ndarray:
+    """Prefix lengths by number of shingles; the last is that of all larger sets."""
+    return np.array([LONGEST] + [prefix_length(least_similarity(n, threshold), target) for n in range(1, SMALL + 1)] + [prefix_length(threshold, target)], np.int64)
+
+
 def signatures(s: Shingled) -> np.ndarray:
     """Hashes of each text, (texts, BINS); texts without shingles have NONE."""
     n = len(s.words)
@@ -64,44 +84,136 @@ def signatures(s: Shingled) -> np.ndarray:
     return out
 
 
-def node_keys(sig: np.ndarray, depth: int) -> np.ndarray:
-    """A 64-bit name for the trie node of each text in each tree at this depth."""
-    labels = sig.reshape(len(sig), TREES, LONGEST)[:, :, :depth]
-    return mix((labels * _LABEL[None, :, :depth]).sum(2, dtype=np.uint64) + np.arange(TREES, dtype=np.uint64)).astype(np.int64)
+def labels_of(sig: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Two words for each text and tree, (texts, TREES, 2), whose order is that of (tree, label)."""
+    level = (mix(sig) >> np.uint64(64 - LEVEL)).astype(np.int64).reshape(len(sig), TREES, 2, HALF)
+    shift = LEVEL * np.arange(HALF - 1, -1, -1)
+    words = (level << shift).sum(3)
+    words[:, :, 0] |= np.arange(TREES) << (LEVEL * HALF)
+    words[:, :, 1] = words[:, :, 1] << DEPTH_BITS | depth[:, None]
+    return words
+
+
+def common_levels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many levels the labels (rows of two words) have in common; none if they are of different trees."""
+    first, second = a[:, 0] ^ b[:, 0], a[:, 1] >> DEPTH_BITS ^ b[:, 1] >> DEPTH_BITS
+    out = np.zeros(len(a), np.int64)
+    for k in range(1, HALF + 1):
+        rest = LEVEL * (HALF - k)
+        out += (first >> rest == 0).astype(np.int64) + ((first == 0) & (second >> rest == 0))
+    return out
+
+
+def prefix_key(label: np.ndarray, levels: int) -> np.ndarray:
+    """A 64-bit name of each label's prefix."""
+    first = label[:, 0] >> (LEVEL * max(0, HALF - levels))
+    second = label[:, 1] >> (DEPTH_BITS + LEVEL * (LONGEST - max(levels, HALF)))
+    return mix(mix(first.astype(np.uint64)) + second.astype(np.uint64)).astype(np.int64)
+
+
+def matched(label: np.ndarray, ends_open: tuple[bool, bool] = (True, True)) -> np.ndarray:
+    """Of labels in order: whether each belongs to one matched run with the next. A run is matched if its
+    prefix is the whole shortened prefix of some text in it; runs that reach an open end may have such a text beyond."""
+    near = common_levels(label[:-1], label[1:])
+    depth = label[:, 1] & ((1 << DEPTH_BITS) - 1)
+    out = np.zeros(len(near), bool)
+    for d in range(int(depth.min(initial=LONGEST)), LONGEST + 1):
+        same = near >= d
+        run = np.concatenate([[0], np.cumsum(~same)])
+        wanted = np.zeros(int(run[-1]) + 1, bool)
+        wanted[run[depth == d]] = True
+        wanted[0] |= ends_open[0]
+        wanted[-1] |= ends_open[1]
+        out |= same & wanted[run[:-1]]
+    return out
 
 
-def described(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
-    """key, text hash, sequence hashes h1 and h2, words, nodes of each row."""
+def described(docs: DataFrame, key: str, text: str, threshold: float, target: float) -> DataFrame:
+    """key, text hash, sequence hashes h1 and h2, words, labels of each row."""
     kind = docs.schema[key].dataType.simpleString()
+    by_size = depths(threshold, target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches, "text"):
             s = Shingled(part.column("text").to_pylist())
-            nodes = node_keys(signatures(s), depth)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * TREES), pa.array(nodes.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("th"), pa.array(s.sequence[0]), pa.array(s.sequence[1]), pa.array(s.words.astype(np.int64)), lists], ["key", "th", "h1", "h2", "words", "nodes"])
+            cuts = np.searchsorted(s.doc, np.arange(len(s.words) + 1))
+            count = np.minimum(np.diff(cuts), SMALL + 1)
+            for i in np.flatnonzero((count > 0) & (count <= SMALL)):
+                count[i] = len(np.unique(s.hash[cuts[i] : cuts[i + 1]]))
+            labels = labels_of(signatures(s), by_size[count])
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("th"), pa.array(s.sequence[0]), pa.array(s.sequence[1]), pa.array(s.words.astype(np.int64)), pa.array([x.tobytes() for x in labels], pa.binary())], ["key", "th", "h1", "h2", "words", "labels"])
 
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, th long, h1 long, h2 long, words long, nodes array<long>")
+    return rows.mapInArrow(run, f"key {kind}, th long, h1 long, h2 long, words long, labels binary")
+
+
+def forest_links(classes: DataFrame, floor: int) -> DataFrame:
+    """a, b (h1 of two texts): what connects the texts of every matched run. floor: the least depth of any text.
+
+    Labels are dealt into sorted ranges; each range is walked once. Runs that a range's border cuts are put together by
+    the name of their floor prefix, from the two outermost labels of each range."""
+
+    def planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                words = np.frombuffer(b"".join(b.column("labels").to_pylist()), np.int64).reshape(-1, 2)
+                nodes = np.repeat(b.column("h1").to_numpy(), TREES)
+                yield pa.RecordBatch.from_arrays([pa.array(words[:, 0]), pa.array(words[:, 1]), pa.array(nodes)], ["l1", "l2", "h1"])
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, node = np.empty((0, 2), np.int64), np.empty(0, np.int64)
+        border: list[tuple[int, int]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # The last text of the batch before stands for its run so far.
+            label = np.concatenate([label[-1:], np.stack([b.column("l1").to_numpy(), b.column("l2").to_numpy()], 1)])
+            node = np.concatenate([node[-1:], b.column("h1").to_numpy()])
+            joined = matched(label)
+            at = np.flatnonzero(np.concatenate([[True], ~joined]))
+            least = np.minimum.reduceat(node, at)
+            lead = np.repeat(least, np.diff(np.append(at, len(node))))
+            if not border:
+                border.append((int(lead[0]), int(prefix_key(label[:1], floor)[0])))
+            apart = node != lead
+            pairs = np.unique(np.stack([node[apart], lead[apart]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.ones(len(pairs), bool))], ["a", "b", "link"])
+            node[-1] = lead[-1]
+        if border:
+            border.append((int(node[-1]), int(prefix_key(label[-1:], floor)[0])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in border]), pa.array([x[1] for x in border]), pa.array([False] * 2)], ["a", "b", "link"])
+
+    order = ["l1", "l2", "h1"]
+    leaves = classes.select("labels", "h1").mapInArrow(planted, "l1 long, l2 long, h1 long")
+    found = stored(leaves.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(walked, "a long, b long, link boolean"), "forest")
+    border = found.where("NOT link").select("a", F.col("b").alias("prefix"))
+    across = border.join(border.groupBy("prefix").agg(F.min("a").alias("b")), "prefix").where("a <> b").select("a", "b")
+    return found.where("link").select("a", "b").unionByName(across)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label of an undirected graph (a, b): the least node of each connected component.
 
-    Every round takes the least label among neighbours and then follows labels once; each round's table is
-    written to the shared folder, and labels at a distance halve, so rounds are few.
+    Each node hands its other smaller neighbours over to its least one, until every node has one smaller neighbour; then
+    these are followed, twice as far each time. Tables of each round are written, so no plan grows.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    starred = None
+    while True:
+        before, starred = starred, stored(pairs.withColumn("m", F.min("b").over(Window.partitionBy("a"))), "stars")
+        if before is not None:
+            drop_stored(before)
+        if not starred.where("b <> m").take(1):
+            break
+        pairs = starred.select(F.explode(F.when(F.col("b") == F.col("m"), F.array(F.struct("a", F.col("m").alias("b")))).otherwise(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).alias("e")).select("e.a", "e.b").distinct()
+    up = starred.select("a", "b")
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "m").alias("to"))
-        hop = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
-        moved = cut(step.join(hop, "to").select("node", "label", F.least("to", "far").alias("new")))
-        changed = moved.where(F.col("new") != F.col("label")).limit(1).count()
-        labels = moved.select("node", F.col("new").alias("label"))
-        if not changed:
-            return labels
+        further = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        jumped = stored(up.join(further, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")), "jumps")
+        drop_stored(up)
+        up = jumped.select("a", "b")
+        if not jumped.where("moved").take(1):
+            return up.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(up.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
 def verify(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +277,14 @@ def linked(reps: DataFrame, docs: DataFrame, key: str, text: str, threshold: flo
     rows = texts.join(reps, F.col("key_").eqNullSafe(F.col("key")) & (F.col("th_") == F.col("th"))).select("text", "h1", "h2", "copies", "label", "blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for part in gathered(batches, "text"):
+            # One row of each class is enough; equal rows come one after the other.
+            names = list(zip(part.column("h1").to_pylist(), part.column("h2").to_pylist(), strict=True))
+            part = part.filter(pa.array([x != y for x, y in zip(names, [last, *names], strict=False)], pa.bool_()))
+            last = names[-1]
+            if not part.num_rows:
+                continue
             found = [x.tobytes() for x in Shingled(part.column("text").to_pylist()).sets()]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("h1", "h2", "copies", "label", "blocks")], pa.array(found, pa.binary())], ["h1", "h2", "copies", "label", "blocks", "shingles"])
 
@@ -206,51 +325,53 @@ def linked(reps: DataFrame, docs: DataFrame, key: str, text: str, threshold: flo
             out += check(group)
         yield batch()
 
-    return paired.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(blocks, "h1 long, h2 long, links long, root long, blocks int")
+    # The pairs of one component are dealt in turn, so that no task gets several large ones by chance.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.pmod(F.xxhash64("label") + F.col("i") * F.col("blocks") + F.col("j"), F.lit(tasks)).cast("int")
+    return paired.repartitionById(tasks, turn).sortWithinPartitions("label", "i", "j").mapInArrow(blocks, "h1 long, h2 long, links long, root long, blocks int")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
     """key, th (hash of the text), copy_id, class_id, n_links, n_copies, first (whether the row stands for its class) of each row."""
-    depth = prefix_length(threshold, target)
-    rows = stored(described(docs, key, text, depth), "signatures")
+    floor = int(depths(threshold, target).min())
+    rows = stored(described(docs, key, text, threshold, target), "signatures")
     worded = rows.where("words > 0")
-    classes = cut(worded.groupBy("h1", "h2").agg(F.min(F.struct(F.col("key").isNull().alias("n"), F.col("key"), F.col("th"))).alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("words").alias("words")).select("h1", "h2", F.col("rep.key").alias("key"), F.col("rep.th").alias("th"), "copies", "words"))
-    nodes = worded.select("h1", F.explode("nodes").alias("node"))
-    shared = nodes.groupBy("node").agg(F.min("h1").alias("lead"), F.max("h1").alias("top")).where("lead < top").select("node", "lead")
-    edges = nodes.join(shared, "node").where("h1 <> lead").select(F.col("h1").alias("a"), F.col("lead").alias("b")).distinct()
-    labels = components(edges)
-    members = cut(classes.join(labels, classes.h1 == labels.node).select("h1", "h2", "key", "th", "copies", "words", "label"))
+    least = F.min(F.struct(F.col("key").isNull().alias("n"), F.col("key"), F.col("th")))
+    classes = stored(worded.groupBy("h1", "h2", "labels").agg(least.alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("words").alias("words")).select("h1", "h2", F.col("rep.key").alias("key"), F.col("rep.th").alias("th"), "copies", "words", "labels"), "classes")
+    labels = components(forest_links(classes, floor))
+    members = stored(classes.drop("labels").join(labels, F.col("h1") == F.col("node")).drop("node"), "members")
     sizes = members.groupBy("label").agg(F.ceil(F.greatest(F.sum("words") / BLOCK, F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"))
-    found = cut(linked(members.join(sizes, "label").select("key", "th", "h1", "h2", "copies", "label", "blocks"), docs, key, text, threshold))
-    counts = found.groupBy("h1", "h2").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("blocks").alias("blocks"))
+    found = stored(linked(members.join(sizes, "label").select("key", "th", "h1", "h2", "copies", "label", "blocks"), docs, key, text, threshold), "links")
     # Where one block held a whole component, its roots are final; else roots of several blocks are joined.
     several = found.where("blocks > 1 AND h1 <> root").select(F.col("h1").alias("a"), F.col("root").alias("b"))
-    if several.limit(1).count():
-        more = components(several)
-        named = counts.join(more, counts.h1 == more.node, "left").select("h1", "h2", "links", F.coalesce("label", "root").alias("root"))
-    else:
-        named = counts.select("h1", "h2", "links", "root")
-    joined = cut(classes.join(named, ["h1", "h2"], "left").withColumn("root", F.coalesce("root", "h1")))
+    if several.take(1):
+        more = components(several).withColumnRenamed("label", "final")
+        found = found.join(more, F.col("root") == F.col("node"), "left").select("h1", "h2", "links", F.coalesce("final", "root").alias("root"))
     # Of classes with one first hash (never seen, but possible) each keeps to its root.
-    firsts = joined.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("n"), F.col("key"), F.col("th"))).alias("f")).select("root", F.col("f.key").alias("class_id"), F.col("f.th").alias("class_th"))
-    full = cut(joined.join(firsts, "root").select("h1", "h2", F.col("key").alias("copy_id"), "class_id", "class_th", "copies", F.coalesce("links", F.lit(0)).alias("links")))
-    w = worded.select("key", "th", "h1", "h2").join(full, ["h1", "h2"]).select("key", "th", "copy_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), (F.col("key").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th"))).alias("first"))
+    named = members.join(found.groupBy("h1", "h2").agg(F.sum("links").alias("links"), F.min("root").alias("root")), ["h1", "h2"])
+    firsts = named.groupBy("root").agg(least.alias("f")).select("root", F.col("f.key").alias("class_id"), F.col("f.th").alias("class_th"))
+    known = stored(named.join(firsts, "root").select("h1", "h2", "class_id", "class_th", "links"), "known")
+    every = classes.select("h1", "h2", F.col("key").alias("copy_id"), F.col("th").alias("copy_th"), "copies").join(known, ["h1", "h2"], "left")
+    w = worded.select("key", "th", "h1", "h2").join(every, ["h1", "h2"])
+    some = F.col("class_th").isNotNull()
+    w = w.withColumn("class_id", F.when(some, F.col("class_id")).otherwise(F.col("copy_id"))).withColumn("class_th", F.coalesce("class_th", "copy_th"))
+    w = w.select("key", "th", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), (F.col("key").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th"))).alias("first"))
     alone = rows.where("words = 0").select("key", "th", F.col("key").alias("copy_id"), F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("first"))
     return w.unionByName(alone).withColumnRenamed("key", key)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that stand for their classes, one of each, with the columns they came with. Wordless rows all stay."""
-    found = near_classes(docs, key, text, threshold).select(F.col(key).alias("_class_key"), F.col("th").alias("_class_text"), "first")
-    gone = found.where(~F.col("first")).select("_class_key", "_class_text").distinct()
+    found = near_classes(docs, key, text, threshold)
+    told = stored(found.select(F.col(key).alias("_class_key"), F.col("th").alias("_class_text"), "first", F.col("n_copies").alias("_class_copies")), "first")
+    gone = told.where(~F.col("first")).select("_class_key", "_class_text").distinct()
     same = lambda: F.col(key).eqNullSafe(F.col("_class_key")) & (F.xxhash64(text) == F.col("_class_text"))
     kept = docs.join(gone, same(), "left_anti")
     # Rows that repeat key and text of a class's first row: one of them stays.
-    twice = cut(found.where(F.col("first") & (F.col("_class_text") != F.xxhash64(F.lit(None).cast("string")))).groupBy("_class_key", "_class_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_class_key", "_class_text"))
-    if not twice.limit(1).count():
+    twice = told.where("first AND _class_copies > 1").groupBy("_class_key", "_class_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_class_key", "_class_text")
+    if not twice.take(1):
         return kept
-    from pyspark.sql import Window
-
+    # Row numbers are limited to 1 before the shuffle, so a row may be repeated any number of times.
     again = kept.join(twice, same(), "left_semi").withColumn("_class_row", F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(F.lit(1))))
     return kept.join(twice, same(), "left_anti").unionByName(again.where("_class_row = 1").drop("_class_row"))
 
