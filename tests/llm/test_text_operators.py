@@ -227,6 +227,32 @@ def test_rates_meet_targets(spark):
     assert np.allclose(got, share) and np.allclose(got, [0.6, 0.3, 0.1], rtol=2e-3)
 
 
+def test_rates_of_the_query_meet_the_targets(spark):
+    rows = mixing.op6_mixing(spark, "/root/testdata/sf0.01").collect()
+    total = sum(r.tokens for r in rows)
+    for d, share in mixing.TARGETS.items():
+        got = sum(r.tokens * r[f"p_{d}"] * r.rate for r in rows) / total
+        assert abs(got - share) < 2e-4 * share and abs(got - rows[0][f"reached_{d}"]) < 1e-9
+    assert all(r.rate >= 0 and r.rate <= r.copies + 1 and r.copies <= r.rate + 1 for r in rows)
+
+
+def test_targets_that_cannot_be_met_end_and_tell(spark):
+    table = spark.createDataFrame([(5, 1.0, 0.0), (7, 0.6, 0.4), (3, 0.9, 0.1)], "tokens long, p0 double, p1 double")
+    rated, share = mixing.fit_rates(table, [0.1, 0.9])
+    got = [sum(r.tokens * r[f"p{d}"] * r.rate for r in rated.collect()) / 15 for d in range(2)]
+    assert np.allclose(got, share) and share[1] < 0.9 and all(r.rate >= 0 for r in rated.collect())
+
+
+def test_elimination():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        a = rng.normal(size=(4, 4))
+        a = a @ a.T
+        b = rng.normal(size=4)
+        assert np.allclose(mixing.solved(a.tolist(), b.tolist()), np.linalg.solve(a, b), rtol=1e-6)
+    assert mixing.solved([[1.0, 1.0], [1.0, 1.0]], [2.0, 2.0]) in ([2.0, 0.0], [0.0, 2.0])
+
+
 def test_posteriors_against_numpy(spark, sf_dir):
     """The same classifier, word by word in Python."""
     docs = common.read(spark, sf_dir, "documents")

@@ -4,16 +4,17 @@
    hashed words and of marked words (shouted, exclaimed, sign-laden, separators) against the whole sample,
    shrunk towards nothing for rare words, with the evidence of a text limited to EVIDENCE words' worth.
 2. Rates r >= 0 are fitted by projected gradient: with n_i tokens and posteriors p_id, the expected share
-   of domain d is sum(n_i p_id r_i) / sum(n_i); the least squares residuals, each divided by the domain's
-   own share, go to zero. A step lowers r_i by the posterior-weighted residuals and cuts it off at 0.
-   A pass over (tokens, posteriors) gives one sum for each domain; nothing else comes to the driver.
+   of domain d is sum(n_i p_id r_i) / sum(n_i), and its difference from the target is to vanish. A step
+   lowers r_i by the posterior-weighted, scaled residuals and cuts it off at 0. A pass over (tokens, posteriors)
+   gives a sum for each domain and pair of domains; nothing else comes to the driver.
 
 Learning uses a bounded sample of labelled rows (SAMPLE, those with the least key hashes); the weights
 table has at most BUCKETS rows, so it is sent to all. Everything else covers all rows.
 
 Defined results: NULL and empty texts have 0 tokens, the prior as posteriors, and a rate of their own that
 moves no total; a domain label NULL is no label; of several labels of a key the least counts; without labels all domains have the
-same posterior; targets that nothing can meet leave the residual that is least. Repeated rows get equal rates.
+same posterior; targets that nothing can meet leave the least residual that steps lead to, told in reached_<domain>.
+Repeated rows get equal rates; a very long text is a row like any other.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ from .common import cut, drop_stored, keyed_uniform, read, stored
 SAMPLE = 8000
 BUCKETS = 1 << 18
 SHRINK, EVIDENCE = 5.0, 64
-ROUNDS, CLOSE = 40, 1e-4
-#: Rounds whose steps are kept as one expression before the rates are written down.
-CHAIN = 12
+#: Passes at the most (a fit takes about ten), the relative distance from a target that is close enough, the least share of a step.
+ROUNDS, CLOSE, LEAST_STEP = 200, 1e-4, 1e-3
+#: Steps that are kept as one expression before the rates are written down.
+CHAIN = 8
 MARKS = ("exclaimed", "signs", "separator", "shouted")
 TARGETS = {"good": 0.92, "poor": 0.07, "toxic": 0.01}
 
@@ -105,51 +107,95 @@ def posteriors(docs: DataFrame, model: Classifier, key: str = "doc_id", text: st
     return powers.select("key", "th", "tokens", *[(F.col(f"e{i}") / whole).alias(f"p{i}") for i in n])
 
 
+def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """x of matrix x = right, a domain in each row: elimination with the largest pivot; a row that depends on others gives 0."""
+    n = len(right)
+    rows = [[*matrix[i], right[i]] for i in range(n)]
+    pivots: list[tuple[int, int]] = []
+    free = list(range(n))
+    for c in range(n):
+        at = max(free, key=lambda i: abs(rows[i][c]), default=None)
+        if at is None or abs(rows[at][c]) < 1e-12:
+            continue
+        free.remove(at)
+        pivots.append((at, c))
+        for i in range(n):
+            if i != at:
+                f = rows[i][c] / rows[at][c]
+                rows[i] = [x - f * y for x, y in zip(rows[i], rows[at], strict=True)]
+    out = [0.0] * n
+    for i, c in pivots:
+        out[c] = rows[i][n] / rows[i][c]
+    return out
+
+
 def fit_rates(table: DataFrame, targets: list[float], rounds: int = ROUNDS, close: float = CLOSE) -> tuple[DataFrame, list[float]]:
-    """table (tokens, p0, ...) with a column rate; and the shares that the rates reach."""
+    """table (tokens, p0, ...) with a column rate; and the shares that the rates reach.
+
+    The least squares are measured by the inverse of the Gram matrix of the rows that a step can move (rate above 0):
+    its gradient, scaled so, would reach the targets at once if no rate were cut off at 0. A step that leaves a larger
+    residual than the one before is taken back and halved. A round is one pass, which returns D + D (D + 1) / 2 sums.
+    It ends when all shares are within `close` of their targets, or when a step of LEAST_STEP still makes things worse: then
+    no rates near these do better, and the shares reached say how far that is.
+    """
     n = range(len(targets))
     weight = sum(targets)
     want = [x / weight for x in targets]
-    base = table.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * F.col(f"p{i}")).alias(f"a{i}") for i in n]).first()
-    total = float(base["n"] or 0)
+    total = float(table.agg(F.sum("tokens")).first()[0] or 0)
     if not total:
         return table.withColumn("rate", F.lit(1.0)), [0.0] * len(targets)
-    own = [max(float(base[f"a{i}"]) / total, 1e-9) for i in n]
-    # Posteriors add up to one, so the Gram matrix over its row sums (the domains' shares) has no eigenvalue above 1:
-    # residuals over shares can be taken whole. Shares of the documents with a rate above 0 are those that a step can
-    # move; where such a step made things worse (documents came back), the next one goes by the shares of all.
-    worst = math.inf
-    rate: Column = F.lit(1.0)
-    written: DataFrame | None = None
-    for k in range(rounds):
-        got = table.agg(*[F.sum(F.col("tokens") * F.col(f"p{i}") * rate).alias(f"a{i}") for i in n], *[F.sum(F.when(rate > 0, F.col("tokens") * F.col(f"p{i}")).otherwise(0.0)).alias(f"m{i}") for i in n]).first()
-        share = [float(got[f"a{i}"]) / total for i in n]
-        movable = [max(float(got[f"m{i}"]) / total, 1e-9) for i in n]
-        error = [share[i] - want[i] for i in n]
-        if max(abs(e) / max(w, 1e-3) for e, w in zip(error, want, strict=True)) < close or k == rounds - 1:
+    pair = [(i, j) for i in n for j in n if i <= j]
+    size = [max(w, 1e-3) for w in want]
+
+    def passed(rate: Column) -> tuple[list[float], list[list[float]]]:
+        at = table.withColumn("rate", rate).withColumn("moves", F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0.0))
+        got = at.agg(*[F.sum(F.col("tokens") * F.col(f"p{i}") * F.col("rate")).alias(f"a{i}") for i in n], *[F.sum(F.col("moves") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i, j in pair]).first()
+        return [float(got[f"a{i}"]) / total - want[i] for i in n], [[float(got[f"g{min(i, j)}_{max(i, j)}"]) / total for j in n] for i in n]
+
+    def moved(rate: Column, by: list[float]) -> Column:
+        return F.greatest(F.lit(0.0), rate - sum((F.col(f"p{i}") * by[i] for i in n), F.lit(0.0)))
+
+    kept: Column = F.lit(1.0)
+    error, gram = passed(kept)
+    step, share, since = solved(gram, error), 1.0, 0
+    for _ in range(rounds):
+        worst = max(abs(e) / z for e, z in zip(error, size, strict=True))
+        if worst < close or share < LEAST_STEP:
             break
-        size = sum(e * e / o for e, o in zip(error, own, strict=True))
-        scale, worst = (movable if size < worst else own), size
-        move = sum((F.col(f"p{i}") * (error[i] / scale[i]) for i in n), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-        if k % CHAIN == CHAIN - 1:
-            table, last = stored(table.withColumn("rate", rate), "rates"), written
-            written = table
-            if last is not None:
-                drop_stored(last)
-            rate = F.col("rate")
-    return table.withColumn("rate", rate), share
+        tried = moved(kept, [share * x for x in step])
+        next_error, next_gram = passed(tried)
+        if max(abs(e) / z for e, z in zip(next_error, size, strict=True)) >= worst:
+            share /= 2
+            continue
+        kept, error, since = tried, next_error, since + 1
+        step, share = solved(next_gram, error), min(1.0, 2 * share)
+        if since % CHAIN == 0:
+            before, table = table, stored(table.drop("rate").withColumn("rate", kept), "rates")
+            if since > CHAIN:
+                drop_stored(before)
+            kept = F.col("rate")
+    return table.withColumn("rate", kept), [e + w for e, w in zip(error, want, strict=True)]
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, th (hash of the text), tokens, domain (most likely), p_<domain>, rate, copies of each row.
+    """key, th (hash of the text), tokens, domain (most likely), p_<domain>, rate, copies, reached_<domain> of each row.
 
-    copies = floor(rate + u), u uniform by key, so that its expectation is the rate."""
+    copies = floor(rate + u), u uniform by key, so that its expectation is the rate. reached_<domain> is the same in all
+    rows: the share of all tokens that the rates give the domain, to be held against its target."""
     domains = sorted(targets)
     table = stored(posteriors(docs, learn(docs, labelled, domains, key, text), key, text), "posteriors")
-    rated, _ = fit_rates(table, [targets[d] for d in domains])
+    rated, reached = fit_rates(table, [targets[d] for d in domains])
     best = F.array_max(F.array(*[F.struct(F.col(f"p{i}").alias("p"), F.lit(d).alias("d")) for i, d in enumerate(domains)]))["d"]
-    return rated.select(F.col("key").alias(key), "th", "tokens", best.alias("domain"), *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate", F.floor(F.col("rate") + keyed_uniform(F.col("key"), F.col("th"), F.lit("copies"))).cast("int").alias("copies"))
+    return rated.select(
+        F.col("key").alias(key),
+        "th",
+        "tokens",
+        best.alias("domain"),
+        *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)],
+        "rate",
+        F.floor(F.col("rate") + keyed_uniform(F.col("key"), F.col("th"), F.lit("copies"))).cast("int").alias("copies"),
+        *[F.lit(x).alias(f"reached_{d}") for d, x in zip(domains, reached, strict=True)],
+    )
 
 
 def apply_rates(docs: DataFrame, rated: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
