@@ -7,11 +7,12 @@ rest gives the Burrows-Wheeler transform, held in a wavelet matrix with running
 searched backwards, all at once; occurrences are located by walking to sampled suffix positions; and the
 spans found are merged. Every document is indexed whole, no row moves, and nothing is shuffled.
 
-Benchmark phrases are sent to the executors in blocks of at most BLOCK_WINDOWS windows; further blocks
-are further passes over the same texts, whose spans are merged by document row, so a benchmark of any size works.
+Benchmark phrases are sent to the executors in blocks of at most BLOCK_WINDOWS words. A slice of documents is searched
+for all blocks before the next slice is read: spans of all blocks are merged text by text, so the number of blocks
+changes no result, and a benchmark of any size works; driver and workers hold one block at a time.
 
 Defined results: words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased;
-NULL and empty texts have no words and no hits; items without words match nothing; items that repeat an
+NULL and empty texts have no words and no hits; a very long text is a slice of its own, searched whole; items without words match nothing; items that repeat an
 id count once; repeated rows get equal results; other columns pass only where the caller keeps the rows.
 """
 
@@ -254,44 +255,38 @@ def blocks(benchmark: DataFrame, key: str, text: str, most: int = BLOCK_WINDOWS)
     yield held
 
 
+def sent_blocks(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str) -> list:
+    """A broadcast of each block. The driver holds one block at a time: what it sent lies in files."""
+    return [docs.sparkSession.sparkContext.broadcast(Phrases(items)) for items in blocks(benchmark, item, item_text)]
+
+
+def scan_all(texts: list, sent: list) -> tuple[np.ndarray, list[np.ndarray], list[set[str]]]:
+    """As scan(), of all blocks: words, merged spans, ids of the items found. A worker holds one block at a time."""
+    counts, spans, found = np.zeros(len(texts), np.int64), [np.empty((0, 2), np.int64)] * len(texts), [set() for _ in texts]
+    for one in sent:
+        phrases = one.value
+        counts, more, items = scan(texts, phrases)
+        for i, x in enumerate(more):
+            if len(x):
+                spans[i] = merged_spans([spans[i], x]) if len(spans[i]) else x
+                found[i] |= {phrases.items[j] for j in items[i].tolist()}
+        if len(sent) > 1 and getattr(one, "_path", None):
+            vars(one).pop("_value", None)  # it is read again from its file
+    return counts, spans, found
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, n_words, spans (word begin and end, merged), items (ids of items with an occurring window, sorted) of each row."""
-    sc = docs.sparkSession.sparkContext
     kind = docs.schema[key].dataType.simpleString()
-    schema = "key {}, n_words long, spans array<struct<b:long,e:long>>, items array<string>{}"
     out_type = pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))
-    groups = list(blocks(benchmark, item, item_text))
-    numbered = len(groups) > 1
-
-    def passed(items: list[tuple]) -> DataFrame:
-        sent = sc.broadcast(Phrases(items))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = sent.value
-            for part in gathered(batches, text, SHARD):
-                texts = part.column(text).to_pylist()
-                n, spans, found = scan(texts, phrases)
-                ids = [sorted({phrases.items[j] for j in f.tolist()}) for f in found]
-                cols = [part.column(key), pa.array(n), pa.array([[{"b": b, "e": e} for b, e in x.tolist()] for x in spans], out_type), pa.array(ids, pa.list_(pa.string()))]
-                if numbered:
-                    cols.append(part.column("_row"))
-                yield pa.RecordBatch.from_arrays(cols, ["key", "n_words", "spans", "items", "_row"][: len(cols)])
-
-        rows = docs.select(key, text, *([F.monotonically_increasing_id().alias("_row")] if numbered else []))
-        return rows.mapInArrow(run, schema.format(kind, ", _row long" if numbered else ""))
-
-    if not numbered:
-        return passed(groups[0]).withColumnRenamed("key", key)
-    every = passed(groups[0])
-    for g in groups[1:]:
-        every = every.unionByName(passed(g))
-    some = every.groupBy("_row").agg(F.first("key").alias(key), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merged = F.aggregate(
-        "s",
-        F.array().cast("array<struct<b:bigint,e:bigint>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["b"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["b"].alias("b"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return some.select(key, "n_words", merged.alias("spans"), "items")
+    sent = sent_blocks(docs, benchmark, item, item_text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in gathered(batches, text, SHARD):
+            n, spans, found = scan_all(part.column(text).to_pylist(), sent)
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n), pa.array([[{"b": b, "e": e} for b, e in x.tolist()] for x in spans], out_type), pa.array(list(map(sorted, found)), pa.list_(pa.string()))], ["key", "n_words", "spans", "items"])
+
+    return docs.select(key, text).mapInArrow(run, f"key {kind}, n_words long, spans array<struct<b:long,e:long>>, items array<string>").withColumnRenamed("key", key)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -300,8 +295,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     What stood around a span stays. Rows without a span are returned as they are. The spans of all blocks of phrases
     are found on the same text, merged and cut once; what a cut brings together is looked for again in all blocks.
     """
-    sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(Phrases(items)) for items in blocks(benchmark, item, item_text)]
+    sent = sent_blocks(docs, benchmark, item, item_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches, text, SHARD):
@@ -309,17 +303,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
             changed = False
             at = list(range(len(clean)))
             while at:  # what a cut brings together may be a phrase again
-                found: dict[int, list[np.ndarray]] = {}
-                for one in sent:
-                    for i, x in zip(at, scan([clean[i] for i in at], one.value)[1], strict=True):
-                        if len(x):
-                            found.setdefault(i, []).append(x)
-                    if len(sent) > 1 and getattr(one, "_path", None):
-                        vars(one).pop("_value", None)  # a worker holds one block at a time and reads it again from its file
-                for i, spans in found.items():
-                    clean[i] = cut_words(clean[i], merged_spans(spans))
+                spans = scan_all([clean[i] for i in at], sent)[1]
+                at, spans = [i for i, x in zip(at, spans, strict=True) if len(x)], [x for x in spans if len(x)]
+                for i, x in zip(at, spans, strict=True):
+                    clean[i] = cut_words(clean[i], x)
                     changed = True
-                at = list(found)
             if changed:
                 part = part.set_column(part.schema.get_field_index(text), part.schema.field(text), pa.array(clean, part.schema.field(text).type))
             yield part
