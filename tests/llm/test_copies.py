@@ -179,6 +179,84 @@ def test_fingerprints_find_edits():
     assert edit_fingerprint.likeness(a, b) > 0.5 > 0.2 > edit_fingerprint.likeness(a, c)
 
 
+def naive_fingerprint(text):
+    """Character by character, step by step, from the shared bits alone."""
+    e = edit_fingerprint
+    bits = e._bits("move", e.WALKS * e.CLASSES * e.PERIOD).reshape(e.WALKS, e.CLASSES, e.PERIOD) & 1
+    codes = e.Walks.classes(text).tolist()
+    symbols, nothing, places = e.walks().nibble, e.walks().nothing, e.walks().places
+    out = ""
+    for w in range(e.WALKS):
+        emitted, at, step = [], 0, 0
+        while at < len(codes):
+            emitted.append(codes[at])
+            at += int(bits[w, codes[at], step % e.PERIOD]) or step % e.PERIOD == e.PERIOD - 1
+            step += 1
+        for k in range(e.SAMPLES):
+            if not emitted:
+                out += f"{nothing[w, k]:x}"
+                continue
+            place = [p for p in places[w, k].tolist() if p < len(emitted)][-1]
+            out += f"{symbols[w, k, emitted[place]]:x}"
+    return out
+
+
+def naive_likeness(a, b):
+    n = len(a) // edit_fingerprint.WALKS
+    best = max(sum(x == y for x, y in zip(a[i : i + n], b[i : i + n], strict=True)) / n for i in range(0, len(a), n))
+    return max(0.0, (best - 0.125) / 0.875)
+
+
+def test_fingerprints_against_a_naive_walk(spark):
+    docs = common.read(spark, "/root/testdata/sf0.001", "documents").where("char_length(text) < 3000").limit(60)
+    docs = spark.createDataFrame([(r.doc_id, r.text) for r in docs.collect()] + [(-1, None), (-2, ""), (10**9, "né 日本 😀" * 9)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in edit_fingerprint.fingerprint(docs).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    ids = sorted(texts)
+    for k, nxt in zip(ids, ids[1:] + ids[:1], strict=True):
+        own, other, beside = naive_fingerprint(texts[k]), naive_fingerprint(edit_fingerprint.edited(texts[k], texts[nxt])), naive_fingerprint(texts[nxt])
+        r = got[k]
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(texts[k]), own, other)
+        assert abs(r.near_edited - naive_likeness(own, other)) < 1e-12 and abs(r.near_next - naive_likeness(own, beside)) < 1e-12
+
+
+def test_bands_are_bit_samples(spark):
+    prints = spark.createDataFrame([("0123456789abcdef" * 16,)], "p string")
+    got = prints.select(edit_fingerprint.bands("p").alias("b")).first()["b"]
+    assert len(got) == 64 and got[:3] == ["0:0123", "4:4567", "8:89ab"] and got[32] == "128:0123"
+
+
+def test_edit_links_recall(spark):
+    """Families of texts a few edits from one another, some only by way of others, against all pairs."""
+    rng = random.Random(12)
+    texts = {}
+    for family in range(12):
+        base = " ".join(words_like(rng, 90))
+        for member in range(rng.choice((1, 2, 4, 9))):
+            t = list(base)
+            for _ in range(rng.randrange(0, 12)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.choice((0, 1, 2))] = rng.choice(("", "q", "zz"))
+            texts[len(texts)] = "".join(t)
+            if member % 3 == 2:
+                base = texts[len(texts) - 1]
+    stands = {t: min(k for k, u in texts.items() if u == t) for t in texts.values()}
+    ids = sorted(stands.values())
+    want = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if texts[a] != texts[b] and edit_fingerprint.edit_distance_within(texts[a], texts[b], int(0.1 * max(len(texts[a]), len(texts[b])))) is not None}
+    found = edit_fingerprint.near_links(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert all((r.a, r.b) in want and edit_fingerprint.edit_distance_within(texts[r.a], texts[r.b], r.distance) == r.distance for r in found)
+    root = {k: k for k in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in found:
+        root[find(r.b)] = find(r.a)
+    assert len(want) > 60 and sum(find(a) == find(b) for a, b in want) >= 0.95 * len(want)
+
+
 def test_fingerprint_edge_cases(spark, tiny, nothing):
     rows = edit_fingerprint.fingerprint(tiny).collect()
     assert len(rows) == 9 and len({r.fingerprint for r in rows if r.doc_id in (2, 3)}) == 1

@@ -11,8 +11,9 @@ step's phase (the bits repeat after PERIOD steps). The edited text shares its he
 so its walk.
 
 Defined results: NULL counts as the empty text; all empty texts have one fingerprint; equal texts have
-equal fingerprints; rows are ordered by (doc_id, text), NULL ids first, so rows that repeat an id follow
-one another; the row after the last is the first; in a table of one row that is the row itself.
+equal fingerprints; rows are ordered by doc_id, NULL ids first, and rows that repeat an id by a hash of their text,
+one after another; the row after the last is the first; in a table of one row that is the row itself; a very long
+text is walked whole, in a slice of its own.
 Columns other than key and text are not read.
 """
 
@@ -26,18 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, slices
+from .common import read, slices, stored
 
 WALKS, SAMPLES, PERIOD, CLASSES = 2, 128, 4096, 256
 SLICE = 6_000_000
-#: Documents that one partition holds, about.
-ROWS_PER_BUCKET = 5000
 #: Share of equal samples between unrelated texts: a letter's chance to meet itself, or its four bits another's.
 CHANCE = 0.125
 #: Below so many texts at one step, they walk one by one.
 FEW = 20
-#: Samples in a band of the pair search, taken from one walk.
-BAND = 8
+#: Samples in a band of the pair search, taken from one walk; neighbours within a band's order that are candidates.
+BAND, NEIGHBOURS = 4, 2
+#: Share of equal samples, of all walks, below which a candidate is not verified: six standard deviations above chance.
+LEAST_ALIKE = 0.25
 
 
 def _bits(tag: str, n: int) -> np.ndarray:
@@ -172,93 +173,96 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _search(bounds: list, value: F.Column) -> F.Column:
-    """How many of the ascending bounds are <= value, by bisection."""
-    if not bounds:
-        return F.lit(0)
-    array, n = F.array(*[F.lit(b) for b in bounds]), len(bounds)
-    powers = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
-    step = lambda at, p: F.when((at + p <= n) & (F.get(array, at + p - 1) <= value), at + p).otherwise(at)
-    return F.coalesce(F.aggregate(powers, F.lit(0), step), F.lit(0))
+def in_order(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text in ranges of (key, hash of the text), each sorted: one shuffle of the texts. Rows that repeat an id are split by
+    their texts; how many ranges there are follows from the session, and nothing about them comes to the driver."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
+    return rows.repartitionByRange(F.col("key").asc_nulls_first(), "th").sortWithinPartitions(F.col("key").asc_nulls_first(), "th").select("key", "text")
 
 
-def with_following(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """bucket, guest, key, text: ranges of keys, sorted; each range ends with guests, the first rows of the range that follows.
-
-    One shuffle of the texts. Bounds are approximate quantiles of the keys; what is broadcast is one key for each range.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key), F.col(text))
-    total = docs.count()
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_PER_BUCKET))
-    shares = [i / buckets for i in range(1, buckets)]
-    got = docs.agg(F.percentile_approx(F.col(key), shares, 20 * buckets).alias("q")).first()["q"] if shares and total else None
-    bounds = sorted(set(got or []))
-    ranged = rows.withColumn("bucket", _search(bounds, F.col(key)))
-    firsts = docs.select(F.col(key), _search(bounds, F.col(key)).alias("bucket")).groupBy("bucket").agg(F.min(key).alias("first"), F.count_if(F.col(key).isNull()).alias("nulls")).orderBy("bucket").collect()
-    # Those with NULL keys come first in bucket 0.
-    heads = [(r["bucket"], None if r["nulls"] else r["first"]) for r in firsts]
-    guests = [(heads[i][1], heads[i - 1][0] if i else heads[-1][0]) for i in range(len(heads))]
-    kind = docs.schema[key].dataType
-    small = spark.createDataFrame(guests, f"head {kind.simpleString()}, host int")
-    invited = rows.join(F.broadcast(small), F.col(key).eqNullSafe(F.col("head"))).select(key, text, F.col("host").alias("bucket"), F.lit(1).alias("guest"))
-    both = ranged.withColumn("guest", F.lit(0)).select(key, text, "bucket", "guest").unionByName(invited.select(key, text, "bucket", "guest"))
-    return both.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "guest", F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
+FINISHED, FIRST, LAST = 0, 1, 2
 
 
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, bands of each row."""
+    """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row.
+
+    A range is walked row by row with its follower. Its last row's follower is the first row of the next range that has rows:
+    the two outermost rows of each range are written beside the results, and met by the ranges' numbers."""
     kind = docs.schema[key].dataType.simpleString()
+    spark = docs.sparkSession
+    results = f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    fields = results + ", state int, range int, text string"
+    names = [x.split()[0] for x in fields.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
 
-    def rows_of(part: pa.RecordBatch) -> list[tuple]:
-        return list(zip(part.column("bucket").to_pylist(), part.column("guest").to_pylist(), part.column(key).to_pylist(), [t or "" for t in part.column(text).to_pylist()], strict=True))
+    def packed(rows: list[tuple], arrow_key: pa.DataType) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [arrow_key, *kinds], strict=True)], names)
 
-    def made(rows: list[tuple], last: bool) -> pa.RecordBatch:
+    def made(keys: list, texts: list[str]) -> list[tuple]:
+        """Results of all rows but the last, which only follows."""
         w = walks()
-        codes = [w.classes(r[3]) for r in rows]
-        done = w.walk(codes, np.zeros((len(rows), WALKS), np.int64))
+        n = range(len(texts) - 1)
+        codes = [w.classes(t) for t in texts]
+        done = w.walk(codes, np.zeros((len(texts), WALKS), np.int64))
         prints = [w.digest(c, d) for c, d in zip(codes, done, strict=True)]
-        own = [i for i in range(len(rows) - 1) if not rows[i][1]]
-        heads = [len(codes[i]) - len(codes[i]) // 4 for i in own]
-        tails = [codes[i + 1][: len(codes[i]) // 4] for i in own]
-        begin = np.array([done[i][:, h - 1] if h else np.zeros(WALKS, np.int64) for i, h in zip(own, heads, strict=True)], np.int64).reshape(len(own), WALKS)
-        more = w.walk(tails, begin)
-        cols: list[list] = [[] for _ in range(8)]
-        for i, h, tail, rest in zip(own, heads, tails, more, strict=True):
+        heads = [len(codes[i]) - len(codes[i]) // 4 for i in n]
+        tails = [codes[i + 1][: len(codes[i]) // 4] for i in n]
+        begin = np.array([done[i][:, h - 1] if h else np.zeros(WALKS, np.int64) for i, h in zip(n, heads, strict=True)], np.int64).reshape(len(n), WALKS)
+        out = []
+        for i, h, tail, rest in zip(n, heads, tails, w.walk(tails, begin), strict=True):
             mine = prints[i]
-            if len(codes[i]) < 4:
-                other = mine
-            else:
-                other = w.digest(np.concatenate([codes[i][:h], tail]), np.concatenate([done[i][:, :h], rest], 1))
-            sha = hashlib.sha256(edited(rows[i][3], rows[i + 1][3]).encode("utf-8", "surrogatepass")).hexdigest()
-            for col, v in zip(cols, (rows[i][2], len(codes[i]), sha, as_text(mine), as_text(other), likeness(mine, other), likeness(mine, prints[i + 1]), bands(mine)), strict=True):
-                col.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (arrow_key[0], pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64())), strict=True)], names)
+            other = mine if len(codes[i]) < 4 else w.digest(np.concatenate([codes[i][:h], tail]), np.concatenate([done[i][:, :h], rest], 1))
+            sha = hashlib.sha256(edited(texts[i], texts[i + 1]).encode("utf-8", "surrogatepass")).hexdigest()
+            out.append((keys[i], len(codes[i]), sha, as_text(mine), as_text(other), likeness(mine, other), likeness(mine, prints[i + 1]), FINISHED, 0, None))
+        return out
 
-    names = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bands"]
-    arrow_key: list = []
+    def border(state: int, at: int, k: object, t: str) -> tuple:
+        return (k, None, None, None, None, None, None, state, at, t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        for part in slices(batches, text, SLICE):
-            arrow_key[:] = [part.schema.field(key).type]
-            for row in rows_of(part):
-                held.append(row)
-                size += len(row[3])
-                if size > SLICE and len(held) > 1:
-                    yield made(held, False)
-                    held, size = held[-1:], len(held[-1][3])
-        if len(held) > 1:
-            yield made(held, True)
-
-    return with_following(docs, key, text).mapInArrow(run, f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands array<long>").withColumnRenamed("key", key)
-
-
-def bands(nibbles: np.ndarray) -> list[int]:
-    """Bit samples as 64-bit keys: band number above, then BAND samples of four bits."""
-    groups = nibbles.reshape(-1, BAND).astype(np.int64)
-    return (((groups << (4 * np.arange(BAND))).sum(1)) | (np.arange(len(groups)) << (4 * BAND))).tolist()
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId()
+        keys: list = []
+        texts: list[str] = []
+        size, begun, arrow_key = 0, False, pa.null()
+        for part in slices(batches, "text", SLICE):
+            arrow_key = part.schema.field("key").type
+            for k, t in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True):
+                if not begun:
+                    begun = True
+                    yield packed([border(FIRST, at, k, t or "")], arrow_key)
+                keys.append(k)
+                texts.append(t or "")
+                size += len(texts[-1])
+                if size > SLICE and len(keys) > 1:
+                    yield packed(made(keys, texts), arrow_key)
+                    keys, texts, size = keys[-1:], texts[-1:], len(texts[-1])
+        if begun:
+            yield packed([*made(keys, texts), border(LAST, at, keys[-1], texts[-1])], arrow_key)
+
+    found = stored(in_order(docs, key, text).mapInArrow(run, fields), "fingerprints")
+    edges = found.where(f"state <> {FINISHED}")
+    ranges = sorted(r[0] for r in edges.where(f"state = {LAST}").select("range").collect())
+    after = spark.createDataFrame(list(zip(ranges, ranges[1:] + ranges[:1], strict=True)), "range int, following int")
+    follow = edges.where(f"state = {FIRST}").select(F.col("range").alias("following"), F.col("text").alias("next_text"))
+    met = edges.where(f"state = {LAST}").select("key", "text", "range").join(after, "range").join(follow, "following").select("key", "text", "next_text")
+
+    def bridged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", SLICE):
+            rows = [made([k, None], [t, u])[0] for k, t, u in zip(*[part.column(c).to_pylist() for c in ("key", "text", "next_text")], strict=True)]
+            yield packed(rows, part.schema.field("key").type)
+
+    every = found.where(f"state = {FINISHED}").unionByName(met.mapInArrow(bridged, fields))
+    return every.select(*[F.col(x.split()[0]) for x in results.split(", ")]).withColumnRenamed("key", key)
+
+
+def bands(prints: F.Column | str) -> F.Column:
+    """Bit samples of fingerprints as text: the number of a band, then its BAND samples of four bits."""
+    digits = F.col(prints) if isinstance(prints, str) else prints
+    begins = [w * SAMPLES + k * BAND for w in range(WALKS) for k in range(SAMPLES // BAND)]
+    return F.transform(F.array(*map(F.lit, begins)), lambda i: F.concat(i.cast("string"), F.lit(":"), F.substring(digits, i + 1, F.lit(BAND))))
 
 
 def edit_distance_within(a: str, b: str, most: int) -> int | None:
@@ -304,15 +308,41 @@ def edit_distance_within(a: str, b: str, most: int) -> int | None:
 
 
 def near_links(docs: DataFrame, share: float = 0.1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Verified links (a, b, distance) between texts at most share * longer length edits apart that share a band with the
-    band's first text. Equal texts are one class, for which its least key stands. Each bucket links its members to its
-    least key, so its output is as long as the bucket, and a bucket of any size is reduced before the shuffle."""
+    """Verified links (a, b, distance) between texts at most share * longer length edits apart.
+
+    Equal texts are one class, for which its least key stands. In each band the texts of a bucket are ordered by fingerprint and
+    key, and each is a candidate with the bucket's least key and with its NEIGHBOURS predecessors in that order: what
+    differs from the least may be near its neighbours, in some of the bands. A bucket gives as many candidates
+    as it has texts, times a constant, at any size; its order is made of fingerprints alone, in tasks that split by fingerprint
+    ranges. Texts travel once for each candidate; tests measure what share of brute-force links the links' classes hold."""
+    # Bits of the text's hash stand for it where a text is grouped: the text itself moves once.
     classes = docs.where(F.col(text).isNotNull()).groupBy(F.sha2(F.encode(text, "UTF-8"), 256).alias("h")).agg(F.min(key).alias(key), F.min(text).alias(text))
-    prints = fingerprint(classes.select(key, text), key, text).select(F.col(key).alias("id"), F.explode("bands").alias("band"))
-    firsts = prints.groupBy("band").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = prints.join(firsts, "band").where("id <> first").select("id", "first").distinct()
+    prints = stored(fingerprint(classes.select(key, text), key, text).select(F.col(key).alias("id"), "n_chars", "fingerprint"), "prints")
+    buckets = prints.select("id", "fingerprint", F.explode(bands("fingerprint")).alias("band"))
+    firsts = buckets.groupBy("band").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "first")
+    stars = buckets.join(firsts, "band").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for part in batches:
+            a, b = [], []
+            for band, k in zip(part.column("band").to_pylist(), part.column("id").to_pylist(), strict=True):
+                held = [x for x in held if x[0] == band][-NEIGHBOURS:]
+                a += [x[1] for x in held]
+                b += [k] * len(held)
+                held.append((band, k))
+            yield pa.RecordBatch.from_arrays([pa.array(a, part.schema.field("id").type), pa.array(b, part.schema.field("id").type)], ["a", "b"])
+
+    order = ["band", "fingerprint", "id"]
+    beside = buckets.repartitionByRange(*order).sortWithinPartitions(*order).select("band", "id").mapInArrow(neighbours, f"a {kind}, b {kind}")
+    pairs = stars.unionByName(beside).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda x: prints.select(F.col("id").alias(x), F.col("n_chars").alias(f"n{x}"), F.col("fingerprint").alias(f"f{x}"))
+    equal = F.size(F.filter(F.sequence(F.lit(1), F.lit(WALKS * SAMPLES)), lambda i: F.substring("fa", i, F.lit(1)) == F.substring("fb", i, F.lit(1))))
+    near = (F.abs(F.col("na") - F.col("nb")) <= share * F.greatest("na", "nb")) & (equal >= LEAST_ALIKE * WALKS * SAMPLES)
+    close = pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
     texts = classes.select(F.col(key).alias("id"), F.col(text).alias("t"))
-    pairs = found.join(texts, "id").join(texts.select(F.col("id").alias("first"), F.col("t").alias("u")), "first")
+    both = close.join(texts.select(F.col("id").alias("b"), "t"), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("u")), "a")
 
     @F.pandas_udf("int")
     def distance(t, u):  # noqa: ANN001, ANN202
@@ -320,7 +350,7 @@ def near_links(docs: DataFrame, share: float = 0.1, key: str = "doc_id", text: s
 
         return pd.Series([edit_distance_within(x, y, int(share * max(len(x), len(y)))) for x, y in zip(t, u, strict=True)], dtype="Int32")
 
-    return pairs.select(F.col("first").alias("a"), F.col("id").alias("b"), distance("t", "u").alias("distance")).where("distance IS NOT NULL")
+    return both.select("a", "b", distance("t", "u").alias("distance")).where("distance IS NOT NULL")
 
 
 def op1_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
