@@ -135,8 +135,29 @@ def test_warc_round_trip(spark, tmp_path):
     back = warc.records_of(spark.createDataFrame(made), "bigint").collect()
     assert sorted((r.key or 0, r.payload_bytes, r.record_type, r.refers_to) for r in back) == [(0, 4, "revisit", 1), (1, 4, "response", None), (1, 4, "revisit", 1), (2, 0, "response", None), (3, 4, "revisit", 1), (4, 0, "revisit", 2), (5, 18000, "response", None)]
     assert warc.records_of(warc.archive(pages.where("false"), str(tmp_path / "none")), "bigint").count() == 0
-    least = warc.records_of(warc.archive(pages, str(tmp_path / "least"), least=5), "bigint").where("record_type = 'revisit'").count()
-    assert least == 0
+    short = warc.archive(pages, str(tmp_path / "least"), least=5)
+    assert warc.records_of(short, "bigint").where("record_type = 'revisit'").count() == 0
+    for manifest in (made, short.collect()):
+        fields = [r["fields"] for m in manifest for r in warc.Archive.read(m.archive)]
+        ids = [f["WARC-Record-ID"] for f in fields]
+        assert len(set(ids)) == len(ids) == 7
+        responses = {f["WARC-Record-ID"]: f for f in fields if f["WARC-Type"] == "response"}
+        for f in fields:
+            if f["WARC-Type"] == "revisit":
+                assert responses[f["WARC-Refers-To"]]["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
+    with pytest.raises(ValueError, match="number or a string"):
+        warc.records_of(short, "date")
+
+
+def test_one_key_with_several_payloads(spark, tmp_path):
+    rows = [(1, "a" * 50, "u"), (1, "b" * 50, "u"), (2, "a" * 50, "u"), (2, "b" * 50, "u")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, url string").repartition(3)
+    made = warc.archive(pages, str(tmp_path))
+    fields = [r["fields"] for m in made.collect() for r in warc.Archive.read(m.archive)]
+    assert len({f["WARC-Record-ID"] for f in fields}) == 4
+    where = {f["WARC-Record-ID"]: f["WARC-Payload-Digest"] for f in fields if f["WARC-Type"] == "response"}
+    assert len(where) == 2 and all(where[f["WARC-Refers-To"]] == f["WARC-Payload-Digest"] for f in fields if f["WARC-Type"] == "revisit")
+    assert made.collect() == made.collect() and len(list(tmp_path.iterdir())) == len(made.collect())
 
 
 def test_secret_spans():

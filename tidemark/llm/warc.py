@@ -1,14 +1,15 @@
 """WARC archives, record-wise compressed with a Zstandard dictionary that leads each archive.
 
-A dictionary is trained on a bounded sample of payloads (SAMPLE_ROWS with the least key hashes, their first
-SAMPLE_BYTES each) and embedded in the leading skippable frame of every archive; each record is a
+A dictionary is trained on a bounded sample of records as they are archived (SAMPLE_ROWS with the least key hashes; of a
+payload of more than SAMPLE_BYTES, PIECES pieces from its begin to its end) and embedded in the leading skippable frame of every archive; each record is a
 frame of its own, so a record can be read by its offset. Equal payloads are found by digest: the least
 key writes the response, others write revisit records that refer to it, with the digest and the
-length of the full payload. Each task writes one archive under its partition's name, by way of a
-temporary name, so that a task run again replaces what the first run wrote.
+length of the full payload. The record ID of a response that others may refer to is made from its digest; other
+records are numbered within their archive. archive() writes at once: each task attempt writes an archive of its own name, and
+the committed manifest names the archives that count, so neither lost executors nor repeated reads write twice.
 
 Defined results: NULL payloads are empty ones; of rows that agree in key and payload one is the response and
-the others revisit it; NULL keys sort last for the choice of a response; payloads shorter than the least revisit length are all
+the others revisit it; NULL keys sort last for the choice of a response; a very long payload is one record; payloads shorter than the least revisit length are all
 responses; an empty table gives no archive. Other columns are not archived, but for a URL if there is one.
 """
 
@@ -25,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir, slices
+from .common import keyed_uniform, read, shared_dir, slices, stored
 
-SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 600, 16_384, 64 * 1024
+SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES, PIECES = 600, 16_384, 64 * 1024, 4
 LEVEL = 3
 LEAST_REVISIT = 0
 #: The skippable frame that holds a dictionary.
@@ -37,34 +38,40 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def trained(pages: DataFrame, key: str, payload: str) -> bytes:
-    """A dictionary of the sampled payloads; raw content if there are too few to train on; empty without payloads."""
+def trained(pages: DataFrame, key: str, payload: str, url: str | None, date: str) -> bytes:
+    """A dictionary of the sampled records; raw content if there are too few to train on; empty without payloads."""
     import zstandard
 
     rows = pages.where(F.length(payload) > 0)
     n = rows.count()
     if not n:
         return b""
-    from .common import keyed_uniform
-
     u = keyed_uniform(F.col(key), F.lit("warc"))
-    sample = [bytes(r[0])[:SAMPLE_BYTES] for r in rows.where(u < min(1.1, 2.0 * SAMPLE_ROWS / n)).select(F.substring(F.encode(payload, "UTF-8"), 1, SAMPLE_BYTES).alias("p"), u.alias("u")).orderBy("u", "p").limit(SAMPLE_ROWS).collect()]
+    raw = F.encode(payload, "UTF-8")
+    width = SAMPLE_BYTES // PIECES
+    pieces = [F.substring(raw, (F.lit(1) + F.floor((F.octet_length(raw).cast("long") - width) * i / (PIECES - 1))).cast("int"), F.lit(width)) for i in range(PIECES)]
+    some = F.when(F.octet_length(raw) <= SAMPLE_BYTES, raw).otherwise(F.concat(*pieces))
+    link = F.col(url) if url else F.lit(None).cast("string")
+    taken = rows.where(u < min(1.1, 2.0 * SAMPLE_ROWS / n)).select(F.col(key).alias("k"), link.alias("l"), some.alias("p"), u.alias("u")).orderBy("u", "p").limit(SAMPLE_ROWS).collect()
+    sample = [record(r["k"], r["l"], bytes(r["p"]), digest_of(bytes(r["p"])), None, True, date, "0:0") for r in taken]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except zstandard.ZstdError:
         return b"".join(sample)[:DICTIONARY_BYTES]
 
 
-def record_id(key: object) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, json.dumps(str(key) if key is not None else None))}>"
+def record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(SPACE, name)}>"
+
 
+def record(key: object, url: str | None, payload: bytes, digest: str, first: object, is_first: bool, date: str, place: str, referred: bool = True) -> bytes:
+    """The bytes of a record. The key travels in extension fields, so that a reader can return it.
 
-def record(key: object, url: str | None, payload: bytes, digest: str, first: object, is_first: bool, date: str) -> bytes:
-    """The bytes of a record. The key travels as WARC-Warcinfo-like extension fields, so that read() can return it."""
+    place: names the record among all others of the same writing. referred: whether others may refer to this response."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if is_first else 'revisit'}",
-        f"WARC-Record-ID: {record_id((key, is_first)) if is_first else f'<urn:uuid:{uuid.uuid5(SPACE, repr((key, digest, first)))}>'}",
+        f"WARC-Record-ID: {record_id('sha1:' + digest if is_first and referred else place)}",
         f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
@@ -75,7 +82,7 @@ def record(key: object, url: str | None, payload: bytes, digest: str, first: obj
     http = HTTP % len(payload)
     block = http + payload if is_first else http
     if not is_first:
-        head += [f"WARC-Refers-To: {record_id((first, True))}", f"WARC-Profile: {PROFILE}", f"X-Refers-To-Key: {json.dumps(first)}"]
+        head += [f"WARC-Refers-To: {record_id('sha1:' + digest)}", f"WARC-Profile: {PROFILE}", f"X-Refers-To-Key: {json.dumps(first)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -154,52 +161,68 @@ class Archive:
 
 
 def chosen(pages: DataFrame, key: str, payload: str, url: str | None, least: int = LEAST_REVISIT) -> DataFrame:
-    """key, payload bytes, url, first key and whether the row is the response.
+    """key, payload bytes, url, first key, whether the row is a response, and whether others may refer to it.
 
-    Digests are reduced to their first row before the shuffle. The join back on the digest is a plain equi-join,
+    Digests are reduced to their least key before the shuffle. The join back on the digest is a plain equi-join,
     whose large partitions adaptive execution splits; a digest that many pages share is one row on the other side.
+    Only where several rows share digest and least key does their order decide: these rows are written and
+    numbered as they lie there, so that a recomputation can't choose again.
     """
     body = F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b""))
-    rows = pages.select(F.col(key).alias("key"), body.alias("payload"), (F.col(url) if url else F.lit(None).cast("string")).alias("url"), F.monotonically_increasing_id().alias("row")).withColumn("digest", F.sha1("payload"))
-    order = F.struct(F.col("key").isNull().alias("no_key"), F.col("key"), F.col("row"))
-    firsts = rows.groupBy("digest").agg(F.min(order).alias("first"))
+    rows = pages.select(F.col(key).alias("key"), body.alias("payload"), (F.col(url) if url else F.lit(None).cast("string")).alias("url")).withColumn("digest", F.sha1("payload"))
+    order = F.struct(F.col("key").isNull().alias("no_key"), F.col("key"))
+    each = rows.groupBy("digest", "key").agg(F.count(F.lit(1)).alias("n"))
+    firsts = stored(each.groupBy("digest").agg(F.min(F.struct(order.alias("o"), "n")).alias("f")).select("digest", F.col("f.o.key").alias("first"), F.col("f.n").alias("ties")), "firsts")
     joined = rows.join(firsts, "digest")
-    alone = F.octet_length("payload") < least
-    return joined.select("key", "payload", "url", F.col("first.key").alias("first"), (alone | (F.col("row") == F.col("first.row"))).alias("is_first"))
+    short = F.octet_length("payload") < least
+    lead = F.col("key").eqNullSafe(F.col("first"))
+    columns = ["key", "payload", "url", "first", "is_first", "referred"]
+    single = joined.where((F.col("ties") == 1) | ~lead).select("*", (short | lead).alias("is_first"), (~short).alias("referred")).select(*columns)
+    if not firsts.where("ties > 1").take(1):
+        return single
+    tied = stored(joined.where((F.col("ties") > 1) & lead).withColumn("row", F.monotonically_increasing_id()), "tied")
+    leads = tied.groupBy("digest").agg(F.min("row").alias("lead"))
+    return single.unionByName(tied.join(leads, "digest").select("*", (short | (F.col("row") == F.col("lead"))).alias("is_first"), (~short).alias("referred")).select(*columns))
 
 
 def archive(pages: DataFrame, folder: str, key: str = "page_id", payload: str = "html", url: str | None = "url", date: str = "2026-01-01T00:00:00Z", least: int = LEAST_REVISIT) -> DataFrame:
-    """Write all pages to archives under `folder`; a row for each: archive, records. Nothing is written before the result is."""
-    dictionary = pages.sparkSession.sparkContext.broadcast(trained(pages, key, payload))
+    """Write all pages to archives under `folder`, at once; the manifest, a row for each archive: archive, records."""
+    dictionary = pages.sparkSession.sparkContext.broadcast(trained(pages, key, payload, url, date))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from itertools import chain
+
         from pyspark import TaskContext
 
-        part = TaskContext.get()
-        path = f"{folder}/part-{part.stageId() if part else 0:05d}-{part.partitionId() if part else 0:06d}.warc.zst"
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}" if task else "part"
 
         def records() -> Iterator[bytes]:
+            n = 0
             for b in slices(batches, "payload"):
-                for k, p, u, first, is_first in zip(*[b.column(c).to_pylist() for c in ("key", "payload", "url", "first", "is_first")], strict=True):
-                    yield record(k, u, p, digest_of(p), first, is_first, date)
+                for k, p, u, first, is_first, referred in zip(*[b.column(c).to_pylist() for c in ("key", "payload", "url", "first", "is_first", "referred")], strict=True):
+                    n += 1
+                    yield record(k, u, p, digest_of(p), first, is_first, date, f"{folder}/{name}:{n}", referred)
 
         every = records()
         one = next(every, None)
         if one is None:
             return
-        from itertools import chain
-
+        path = f"{folder}/{name}.warc.zst"
         n = Archive.write(path, dictionary.value, chain([one], every))
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["archive", "records"])
 
-    return chosen(pages, key, payload, url, least).mapInArrow(run, "archive string, records long")
+    return stored(chosen(pages, key, payload, url, least).mapInArrow(run, "archive string, records long"), "manifest")
 
 
 def records_of(archives: DataFrame, key_type: str) -> DataFrame:
     """Every record of the archives, in the order of the files: key, payload_bytes, payload_digest, record_type, refers_to.
 
     The payload of a response is checked against its digest and length."""
-    to_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key_type]
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+    if key_type not in kinds:
+        raise ValueError(f"a key of type {key_type} does not travel in a record's header: make it a number or a string")
+    to_arrow = kinds[key_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
