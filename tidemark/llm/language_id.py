@@ -13,7 +13,8 @@ and DICTIONARY_BYTES of each dictionary, taken in equal shares from them. Everyt
 
 Defined results: a NULL text and one without a letter are `und`, score 0, rejected; ties between
 languages go to the first in sort order; rows without a lang are not learned from; without any labelled
-row every text is `und`. Repeated rows are predicted alike. No other column of the input is read.
+row every text is `und`, and drop_rejected, which then knows no language, keeps all rows that have a letter. Very long
+texts are compressed whole, block by block. Repeated rows are predicted alike. No other column of the input is read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import crc_mod, gathered, keyed_uniform, read
 
 DOCS_PER_LANGUAGE = 256
 DICTIONARY_BYTES = 96 * 1024
+#: Dictionaries are broadcast (24 MB at the most); a column with more values is no language label.
+MOST_LANGUAGES = 256
 #: Characters that are taken from one place of a sampled text, about.
 PIECE = 96
 BLOCK = 1024
@@ -43,9 +46,11 @@ UNKNOWN = "und"
 def learn(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "text", per_language: int = DOCS_PER_LANGUAGE, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary for each label: equal shares of the sampled texts, from all over each text."""
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return {}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels: their dictionaries are sent to every worker")
     # One scan: the share of keys that gives twice the rows needed, then the least hashes of those.
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.1, 2.0 * per_language / n))])
     hashed = rows.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h"), keyed_uniform(F.col(key)).alias("u"))
@@ -56,7 +61,7 @@ def learn(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str =
     share = F.greatest(F.lit(64), F.floor(F.lit(size) / F.col("rows")).cast("int"))
     pieces = F.greatest(F.lit(1), F.floor(share / PIECE).cast("int"))
     width = F.floor(share / pieces).cast("int")
-    length = F.length("text")
+    length = F.length("text").cast("long")
     begin = lambda i: (F.lit(1) + F.floor((length - width) * i / F.greatest(F.lit(1), pieces - 1))).cast("int")
     spread = F.array_join(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.substring(F.col("text"), begin(i), width)), " ")
     sample = picked.select("label", "n", F.when(length <= share, F.col("text")).otherwise(spread).alias("piece")).orderBy("label", "n").collect()
@@ -115,8 +120,10 @@ def sizes(text: str, by: list[Coder], block: int = BLOCK) -> list[int]:
 
 def kept(text: str | None, by: list[Coder], margin: float = MARGIN) -> bool:
     """Whether the pipeline keeps a text: the best language is ahead by the margin, or one block tells nothing."""
-    if not by or not text or not any(map(str.isalpha, text)):
+    if not text or not any(map(str.isalpha, text)):
         return False
+    if not by:
+        return True
     cuts = cuts_of(text)
     got = sorted(c.size(cuts) for c in by)
     return len(got) < 2 or got[1] / got[0] - 1 >= margin or (len(cuts) == 1 and got[0] == got[1])
