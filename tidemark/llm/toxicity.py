@@ -3,15 +3,15 @@
 Features of a whole text: densities of a lexicon of words and of word stems, how near second-person words
 stand to lexicon hits, shares of capitals, punctuation rates, and rates of obfuscated spellings (digits
 and signs inside words, also read back as letters). The lexicon holds words and word beginnings that are
-far more frequent in toxic documents of the training sample; trees and calibration are fitted on the same
-sample, apart from CALIBRATION of it, which only calibrates.
+far more frequent in toxic documents of the training sample. CALIBRATION of the sample is set apart first: it
+has no part in lexicon and trees, and only calibrates.
 
 Learning uses a bounded sample: at most about MOST_TOXIC and MOST_CLEAN labelled rows, those with the
 least key hashes, weighted back to the classes' sizes. Features and scores cover all rows and whole texts.
 
 Defined results: NULL and empty texts are scored like any text, from features that are all 0; a label
 NULL is no label; a key with several labels counts as toxic if one is; without labels of both classes
-every score is the toxic share (0 without labels). Repeated rows get equal scores. Columns other than
+every score is the toxic share (0 without labels). Repeated rows get equal scores; a very long text is read whole. Columns other than
 key and text are not read by a score.
 """
 
@@ -221,7 +221,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # Bounded by MOST_TOXIC and MOST_CLEAN, whatever the tables hold.
     docs = docs.select(key, text)
     sample = docs.join(F.broadcast(some), F.col(key) == F.col("_k")).select(F.col(key), F.col(text), F.col("_y"))
-    lexicon = lexicon_of(sample, text, "_y")
+    apart = keyed_uniform(F.col(key), F.lit("calibrate"))
+    lexicon = lexicon_of(sample.where(apart >= CALIBRATION), text, "_y")
     got = feature_rows(docs.join(F.broadcast(some), F.col(key) == F.col("_k"), "left_semi"), lexicon, key, text).join(F.broadcast(some), F.col("key") == F.col("_k")).select("key", "value", "_y", keyed_uniform(F.col("key"), F.lit("calibrate")).alias("u")).orderBy("key", "value").collect()
     if not got:
         return Model([], bad / (bad + good))
