@@ -296,6 +296,8 @@ class Counter:
         pre = spec.get("pre_tokenizer") or {}
         if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("only byte-level BPE without a normalizer or prefix space is compiled")
+        if pre.get("use_regex") is False or spec["model"].get("ignore_merges") or any(t.get(x) for t in spec.get("added_tokens", []) for x in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("a tokenizer without the splitter, with ignored merges, or with added tokens that strip or stand alone is not compiled")
         letters = byte_letters()
         special = [t["content"] for t in spec.get("added_tokens", [])]
         as_bytes = lambda s: bytes(letters[c] for c in s)
@@ -310,7 +312,7 @@ class Counter:
         n = np.zeros(len(texts), np.int64)
         pieces, owner = [], []
         for i, text in enumerate(texts):
-            parts = self.special.split(text) if self.special and "<" in text else [text]
+            parts = self.special.split(text) if self.special else [text]
             n[i] = len(parts) - 1
             pieces += parts
             owner += [i] * len(parts)
