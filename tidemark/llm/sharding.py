@@ -2,11 +2,12 @@
 
 Each record goes to the shard with the least cost -ln(u) / weight, where u is a hash of (key, shard)
 in (0, 1). A shard's cost for a key does not depend on the other shards, so a new shard takes records
-into itself and moves none between the old ones.
+into itself and moves none between the old ones. A key is hashed once; its hashes for the shards follow by arithmetic.
 
 Defined results: a NULL key hashes as a fixed text of its own (all such rows share a shard); a NULL
 text has 0 bytes and the CRC of nothing; repeated rows share a shard and get slots of their own; an
-empty table gives an empty one. Columns of the input other than key and text pass through if asked for.
+empty table gives an empty one; a very long text is one row like any other. Columns of the input other than key and text
+pass through if asked for.
 """
 
 from __future__ import annotations
@@ -16,66 +17,70 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, stored
 
 SHARDS = 40
 #: Rows that one window partition numbers, about; the number of partitions grows with the table.
 ROWS_PER_GROUP = 10_000
-#: 13 hexadecimal digits of an MD5 are exact as a double.
-HEX, SPAN = 13, float(16**13)
+#: A prime below which all hashes lie, so that products fit a BIGINT; and the multiplier that spreads shard numbers.
+PRIME, SPREAD = 2**31 - 1, 40503 * 52127
+RESULTS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def _hash(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, HEX), 16, 10).cast("long")
+def key_hashes(key: str) -> tuple[Column, Column]:
+    """Two hashes below PRIME of a key's text, from one MD5."""
+    digest = F.md5(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("null")), "UTF-8"))
+    part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long") % PRIME
+    return part(1), part(9)
 
 
-def key_text(key: str) -> Column:
-    return F.coalesce(F.col(key).cast("string"), F.lit("null"))
+def rendezvous_cost(h: Column, g: Column, shard: Column, weight: Column | float = 1.0) -> Column:
+    """-ln(u) / weight; u in (0, 1) is two rounds of squares modulo PRIME over a line in the shard's own direction."""
+    spread = (shard + 1).cast("long") * SPREAD % PRIME
+    line = (h * spread + g) % PRIME
+    once = (line * line + h + spread) % PRIME
+    return -F.log((((once * once + g) % PRIME).cast("double") + 0.5) / float(PRIME)) / weight
 
 
-def rendezvous_cost(key: Column, shard: Column, weight: Column | float = 1.0) -> Column:
-    u = (_hash(F.concat_ws(":", key, shard.cast("string"))).cast("double") + 0.5) / SPAN
-    return -F.log(u) / weight
-
-
-def best_shard(key: Column, weights: Sequence[float]) -> Column:
+def best_shard(h: Column, g: Column, weights: Sequence[float]) -> Column:
     """STRUCT(cost, shard) of the cheapest of len(weights) shards; ties go to the lower number."""
     w = F.array(*[F.lit(float(x)) for x in weights])
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(len(weights) - 1)), lambda s: F.struct(rendezvous_cost(key, s, F.get(w, s)).alias("cost"), s.alias("shard"))))
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(len(weights) - 1)), lambda s: F.struct(rendezvous_cost(h, g, s, F.get(w, s)).alias("cost"), s.alias("shard"))))
 
 
 def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, key: str = "doc_id", text: str = "text", grown_weight: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
-    """key, size, text_crc32, law, shard, slot, grown_shard, then the columns of `keep`.
+    """key, size, text_crc32, law, shard, slot, grown_shard, then the columns of `keep`; one of those that has a name of the results is
+    returned as source_<name>.
 
-    Slots are numbered by (group, key, CRC, size) within a shard, where group is a hash of the key.
-    A window numbers each (shard, group) by itself; the groups' offsets are running sums of counts.
+    Every row is hashed once and written with its shard; counts and numbers are taken from what was written. Slots are numbered by
+    (group, key, CRC, size) within a shard, where a group is a range of a hash of key and CRC: rows that repeat a key are
+    split by their texts. A window numbers each (shard, group) by itself; the groups' offsets are running sums of counts.
     So no task orders a whole shard. The number of groups follows from the row count.
     """
     n = len(weights)
-    kept = [c for c in keep if c not in (key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")]
-    keyed = docs.select(F.col(key), *[F.col(c) for c in kept], F.octet_length(F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))).cast("long").alias("_bytes"), F.crc32(F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))).alias("text_crc32"))
-    total = docs.count()
-    groups = max(1, -(-total // (n * ROWS_PER_GROUP)))
-
-    def placed(df: DataFrame) -> DataFrame:
-        df = df.withColumn("_best", best_shard(key_text(key), weights))
-        df = df.withColumn("_new", rendezvous_cost(key_text(key), F.lit(n), float(grown_weight)))
-        return df.select("*", F.col("_best.shard").alias("shard"), F.when(F.col("_new") < F.col("_best.cost"), F.lit(n)).otherwise(F.col("_best.shard")).cast("int").alias("grown_shard"), (_hash(F.concat_ws(":", key_text(key), F.lit("group"))) % groups).alias("_group")).drop("_best", "_new")
-
-    sizes = placed(docs.select(key)).groupBy("shard", "_group").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("shard", "_group").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "_bytes")
-    numbered = placed(keyed).withColumn("_rank", F.row_number().over(within))
-    return numbered.join(offsets, ["shard", "_group"]).select(
-        F.col(key),
-        (F.col("_bytes") + 16).alias("size"),
-        "text_crc32",
+    kept = [c for c in keep if c != key]
+    body = F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))
+    carried = [F.col(c).alias(f"_shard_kept_{i}") for i, c in enumerate(kept)]
+    hashed = docs.select(F.col(key).alias("_shard_key"), *carried, F.octet_length(body).cast("long").alias("_shard_bytes"), F.crc32(body).alias("_shard_crc"), *[c.alias(f"_shard_h{i}") for i, c in enumerate(key_hashes(key))])
+    h, g = F.col("_shard_h0"), F.col("_shard_h1")
+    best = hashed.withColumn("_shard_best", best_shard(h, g, weights)).withColumn("_shard_new", rendezvous_cost(h, g, F.lit(n), float(grown_weight)))
+    placed = stored(best.select("*", F.col("_shard_best.shard").alias("_shard_at"), F.when(F.col("_shard_new") < F.col("_shard_best.cost"), F.lit(n)).otherwise(F.col("_shard_best.shard")).alias("_shard_grown")).drop("_shard_best", "_shard_new"), "placed")
+    groups = max(1, -(-placed.count() // (n * ROWS_PER_GROUP)))
+    grouped = placed.withColumn("_shard_group", (F.col("_shard_h1") + F.col("_shard_crc")) % groups)
+    sizes = grouped.groupBy("_shard_at", "_shard_group").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_shard_at").orderBy("_shard_group").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_shard_at", "_shard_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shard_offset"))
+    within = Window.partitionBy("_shard_at", "_shard_group").orderBy(F.col("_shard_key").asc_nulls_first(), "_shard_crc", "_shard_bytes")
+    numbered = grouped.withColumn("_shard_rank", F.row_number().over(within))
+    return numbered.join(offsets, ["_shard_at", "_shard_group"]).select(
+        F.col("_shard_key").alias(key),
+        (F.col("_shard_bytes") + 16).alias("size"),
+        F.col("_shard_crc").alias("text_crc32"),
         F.lit("key").alias("law"),
-        F.col("shard").cast("int").alias("shard"),
-        (F.col("_offset") + F.col("_rank") - 1).cast("long").alias("slot"),
-        "grown_shard",
-        *kept,
+        F.col("_shard_at").cast("int").alias("shard"),
+        (F.col("_shard_offset") + F.col("_shard_rank") - 1).cast("long").alias("slot"),
+        F.col("_shard_grown").cast("int").alias("grown_shard"),
+        *[F.col(f"_shard_kept_{i}").alias(f"source_{c}" if c in RESULTS else c) for i, c in enumerate(kept)],
     )
 
 
@@ -97,16 +102,13 @@ docs AS (
                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
     FROM documents, crc_table
 ),
-costs AS (
-    SELECT k, s.range AS shard, -ln((('0x' || substr(md5(k || ':' || s.range), 1, {HEX}))::BIGINT::DOUBLE + 0.5) / {SPAN!r}) AS cost
-    FROM (SELECT DISTINCT k FROM docs), range({SHARDS + 1}) s
-),
-best AS (
-    SELECT k, arg_min(shard, (cost, shard)) FILTER (shard < {SHARDS}) AS shard, arg_min(shard, (cost, shard)) AS grown_shard,
-           ('0x' || substr(md5(k || ':group'), 1, {HEX}))::BIGINT % (SELECT greatest(1, (count(*) + {SHARDS * ROWS_PER_GROUP - 1}) // {SHARDS * ROWS_PER_GROUP}) FROM docs) AS grp
-    FROM costs GROUP BY k
-)
+hashed AS (SELECT DISTINCT k, ('0x' || substr(md5(k), 1, 8))::BIGINT % {PRIME} AS h, ('0x' || substr(md5(k), 9, 8))::BIGINT % {PRIME} AS g FROM docs),
+lines AS (SELECT k, h, g, s.range AS shard, (s.range + 1) * {SPREAD} % {PRIME} AS spread FROM hashed, range({SHARDS + 1}) s),
+once AS (SELECT *, ((h * spread + g) % {PRIME} * ((h * spread + g) % {PRIME}) + h + spread) % {PRIME} AS o FROM lines),
+costs AS (SELECT k, g, shard, -ln((((o * o + g) % {PRIME})::DOUBLE + 0.5) / {float(PRIME)!r}) AS cost FROM once),
+best AS (SELECT k, any_value(g) AS g, arg_min(shard, (cost, shard)) FILTER (shard < {SHARDS}) AS shard, arg_min(shard, (cost, shard)) AS grown_shard FROM costs GROUP BY k),
+grps AS (SELECT greatest(1, (count(*) + {SHARDS * ROWS_PER_GROUP - 1}) // {SHARDS * ROWS_PER_GROUP}) AS n FROM docs)
 SELECT doc_id, (n_bytes + 16)::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
-       row_number() OVER (PARTITION BY shard ORDER BY grp, doc_id NULLS FIRST, crc, n_bytes) - 1 AS slot, grown_shard::INTEGER AS grown_shard
-FROM docs JOIN best USING (k)
+       row_number() OVER (PARTITION BY shard ORDER BY (g + crc) % grps.n, doc_id NULLS FIRST, crc, n_bytes) - 1 AS slot, grown_shard::INTEGER AS grown_shard
+FROM docs JOIN best USING (k), grps
 """
