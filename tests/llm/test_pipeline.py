@@ -2,6 +2,7 @@
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_copies import brute
@@ -59,3 +60,28 @@ def test_mixing_and_shards(stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages["sharding"].count()
+
+
+def test_stages_on_odd_tables(spark, tmp_path, tiny, nothing):
+    """NULLs in any column, empty and repeated rows, clashing names, and tables without rows."""
+    odd = tiny.withColumn("source", F.lit(None).cast("string")).withColumn("size", F.lit(1)).withColumn("slot", F.col("doc_id")).withColumn("th", F.lit("x"))
+    bench = spark.createDataFrame([(1, "the lazy dog and runs far"), (2, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (6, 0, None), (None, None, 1)], "doc_id long, quality int, toxic int")
+    for case, (docs, b, y) in enumerate([(odd, bench, labels), (odd, bench.where("false"), labels.where("false")), (odd.where("false"), bench, labels)]):
+        where = f"{tmp_path}/{case}"
+        docs.write.parquet(f"{where}/documents.parquet")
+        b.write.parquet(f"{where}/benchmark.parquet")
+        y.write.parquet(f"{where}/labels.parquet")
+        now = read(spark, where, "documents")
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, where)
+            out.write.parquet(f"{where}/{name}")
+            now = spark.read.parquet(f"{where}/{name}")
+            assert now.columns == docs.columns or i == len(corpus_pipeline.STAGES) - 1
+        assert {"shard", "source_size", "source_slot", "text", "th"} <= set(now.columns)
+        assert now.count() == corpus_pipeline.run(spark, where).count()
+        if case == 2:
+            assert now.count() == 0
+        if case == 0:
+            left = [r.text for r in spark.read.parquet(f"{where}/decontamination").collect()]
+            assert len(left) == len(set(left)) and not any("lazy dog" in t for t in left)

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -172,8 +173,6 @@ def test_secret_spans():
 
 
 def test_entropy_counts_are_right():
-    import math
-
     rng = random.Random(8)
     for _ in range(40):
         s = "".join(rng.choice("abcdefgh0123") for _ in range(rng.randrange(20, 60)))
@@ -222,6 +221,49 @@ def test_toxicity_accuracy(spark):
     assert auc(bad, good) > 0.97 and np.mean(bad >= 0.3) > 0.85 and np.mean(good >= 0.3) < 0.02
 
 
+def test_toxicity_scores_against_plain_python(spark, sf_dir):
+    """Features by their definitions, trees walked node by node, the calibration line by line."""
+    docs = common.read(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, common.read(spark, sf_dir, "labels"))
+    words = {w for w in model.lexicon if not w.startswith("^")}
+    stems = {w[1:] for w in model.lexicon if w.startswith("^")}
+    hit = lambda w: w in words
+    stem = lambda w: any(w.startswith(x) and len(w) > len(x) for x in stems)
+    xs, ys = (list(map(float, k)) for k in model.knots)
+
+    def line(v):
+        if v <= xs[0] or v >= xs[-1]:
+            return ys[0] if v <= xs[0] else ys[-1]
+        i = max(i for i in range(len(xs)) if xs[i] <= v)
+        return ys[i] + (ys[i + 1] - ys[i]) * (v - xs[i]) / (xs[i + 1] - xs[i])
+
+    def plain(text):
+        w = re.findall(r"[^\W\d_]+", text.lower())
+        n, length = max(1, len(w)), len(text)
+        at = [i for i, x in enumerate(w) if hit(x) or stem(x)]
+        near = sum(any(x in toxicity.SECOND_PERSON for x in w[max(0, i - 5) : i + 6]) for i in at)
+        capitals = sum("A" <= c <= "Z" for c in text)
+        signs = sum(33 <= ord(c) < 127 and not c.isalnum() for c in text)
+        shouted = sum(x.isupper() for x in text.split()) if capitals > 0.1 * length else 0
+        masked = re.findall(r"[A-Za-z]+[0-9@$*!][A-Za-z0-9@$*!]*[A-Za-z]", text)
+        back = [x.lower().translate(str.maketrans("013457@$!", "oieastasi")) for x in masked]
+        return [math.log(1 + len(w)), sum(map(hit, w)), 100 * sum(map(hit, w)) / n, sum(map(stem, w)), 100 * sum(map(stem, w)) / n, len({w[i] for i in at}), 100 * near / n, capitals / length, shouted / n, 100 * text.count("!") / length, signs / length, 100 * len(masked) / n, sum(hit(x) or stem(x) for x in back)]
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(docs, model).collect():
+        x = plain(texts[r.doc_id]) if texts[r.doc_id] else [0.0] * 13
+        total = model.trees.start
+        for feature, cut, value in model.trees.trees:
+            node = 0
+            while feature[node] >= 0:
+                bin_ = sum(c <= x[feature[node]] for c in model.trees.cuts[feature[node]])
+                node = 2 * node + 1 + (bin_ > cut[node])
+            total += value[node]
+        raw = 1 / (1 + math.exp(-total))
+        want = min(1.0, max(0.0, 0.99 * line(raw) + 0.01 * raw))
+        assert abs(r.score - want) < 1e-6 and r.predicted == int(r.score >= 0.3), r.doc_id
+
+
 def test_toxicity_edge_cases(spark, tiny, nothing):
     labels = spark.createDataFrame([(1, 1), (1, 0), (6, 0), (7, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.learn(tiny, labels)

@@ -85,6 +85,57 @@ def test_shards(spark, tiny, nothing, monkeypatch):
     assert sharding.shard(nothing).count() == 0
 
 
+def test_clashing_columns_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_GROUP", 1)
+    docs = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.col("id").alias("size"), F.lit("x").alias("slot"), F.lit(1).alias("_shard_group"))
+    rows = sharding.shard(docs, (1.0,) * 4, keep=["size", "slot", "_shard_group", "text"]).collect()
+    assert len(rows) == 400 and len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(400))
+    assert {(r.source_size, r.source_slot, r._shard_group, r.text) for r in rows} == {(i, "x", 1, f"text {i}") for i in range(400)}
+    assert all(r.size == len(r.text) + 16 for r in rows)
+
+
+def test_shards_are_even(spark):
+    n = [r["count"] for r in sharding.shard(spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))).groupBy("shard").count().collect()]
+    assert len(n) == 40 and sum((x - 1000) ** 2 / 1000 for x in n) < 80
+
+
+def test_languages_against_plain_compression(spark, sf_dir):
+    """Sizes, prediction and score of every document, with zstandard alone."""
+    import re
+
+    import zstandard
+
+    docs = common.read(spark, sf_dir, "documents")
+    made = language_id.learn(language_id.training_rows(docs))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def packed(data, raw, level):
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False).compress(data))
+
+    checked = 0
+    for r in language_id.identify(docs, made).collect():
+        t = texts[r.doc_id]
+        if len(t) > 4000 or not re.search(r"[^\W\d_]", t):
+            continue
+        raw = " ".join("".join(c if ord(c) > 127 or c.isalpha() else " " for c in t.lower()).encode().decode().split(" ")).encode()
+        raw = b" ".join(raw.split())
+        parts = max(1, -(-len(raw) // 1024))
+        blocks = [raw[len(raw) * i // parts : len(raw) * (i + 1) // parts] for i in range(parts)]
+        sizes = {}
+        for lang, d in made.items():
+            if parts == 1:
+                sizes[lang] = max(1, packed(d[-256:] + blocks[0] + b" ", d, 12) - packed(d[-256:], d, 12))
+            else:
+                sizes[lang] = sum(packed(b, d, 5) for b in blocks)
+        best = min(sorted(sizes), key=sizes.get)
+        second = min(v for k, v in sizes.items() if k != best)
+        assert (r.lang_pred, r.best_bytes, r.second_bytes) == (best, sizes[best], second)
+        assert abs(r.score - min(1, (second / sizes[best] - 1) / 0.2)) < 1e-12 and r.rejected == (second / sizes[best] - 1 < 0.01)
+        checked += 1
+    assert checked > 100
+
+
 def test_language_accuracy(spark, sf_dir):
     docs = common.read(spark, "/root/testdata/sf0.01", "documents")
     found = language_id.op4_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()

@@ -20,11 +20,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here if there is none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one process, as in tests, gets one of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         sc = spark.sparkContext
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         where = sc._jsc.sc().getCheckpointDir().get()
     return where.rstrip("/")
