@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,20 +42,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """As cut, but as Parquet: only the columns that are asked for are read again."""
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that stored() writes inside are removed at the end, but for those to be kept."""
+    outer = getattr(_scratch, "paths", None)
+    _scratch.paths = mine = []
+    _scratch.outer = outer
+    try:
+        yield
+    finally:
+        _scratch.paths, _scratch.outer = outer, None
+        for path in mine:
+            removed(spark, path)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """As cut, but as Parquet: only the columns that are asked for are read again. keep: past the end of scratch()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    paths = getattr(_scratch, "outer" if keep else "paths", None)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
 def drop_stored(df: DataFrame) -> None:
     """Remove a table that stored() wrote; call it when nothing reads it any more."""
-    spark = df.sparkSession
     for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed(df.sparkSession, f.rpartition("/")[0])
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:

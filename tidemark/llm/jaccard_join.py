@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, gathered, read, slices, stored
+from .common import drop_stored, gathered, read, scratch, slices, stored
 from .shingles import Shingled, mix
 
 THRESHOLD = 0.8
@@ -41,6 +41,8 @@ BINS = TREES * LONGEST
 BLOCK, BLOCK_ROWS = 100_000, 256
 #: Bits of a label's hash at one level. Four levels fill a word of a label; the tree's number leads the first, the text's depth ends the second.
 LEVEL, HALF, DEPTH_BITS = 14, 4, 4
+#: A class of more than this part of all rows is hot.
+HOT = 1000
 #: Sets of up to so many shingles have a depth of their own.
 SMALL = 64
 
@@ -274,7 +276,8 @@ def linked(reps: DataFrame, docs: DataFrame, key: str, text: str, threshold: flo
     """
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("key_"), F.xxhash64(text).alias("th_"), F.col(text).alias("text"))
-    rows = texts.join(reps, F.col("key_").eqNullSafe(F.col("key")) & (F.col("th_") == F.col("th"))).select("text", "h1", "h2", "copies", "label", "blocks")
+    # Sorted at every size: the plan doesn't change with the number of candidates, and one row's repeats come together.
+    rows = texts.join(reps.hint("merge"), F.col("key_").eqNullSafe(F.col("key")) & (F.col("th_") == F.col("th"))).select("text", "h1", "h2", "copies", "label", "blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -332,7 +335,14 @@ def linked(reps: DataFrame, docs: DataFrame, key: str, text: str, threshold: flo
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """key, th (hash of the text), copy_id, class_id, n_links, n_copies, first (whether the row stands for its class) of each row."""
+    """key, th (hash of the text), copy_id, class_id, n_links, n_copies, first (whether the row stands for its class) of each row.
+
+    The result is written to the shared folder at once; all tables on the way to it are removed."""
+    with scratch(docs.sparkSession):
+        return stored(_classes(docs, key, text, threshold, target), "near-classes", keep=True)
+
+
+def _classes(docs: DataFrame, key: str, text: str, threshold: float, target: float) -> DataFrame:
     floor = int(depths(threshold, target).min())
     rows = stored(described(docs, key, text, threshold, target), "signatures")
     worded = rows.where("words > 0")
@@ -351,8 +361,12 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     named = members.join(found.groupBy("h1", "h2").agg(F.sum("links").alias("links"), F.min("root").alias("root")), ["h1", "h2"])
     firsts = named.groupBy("root").agg(least.alias("f")).select("root", F.col("f.key").alias("class_id"), F.col("f.th").alias("class_th"))
     known = stored(named.join(firsts, "root").select("h1", "h2", "class_id", "class_th", "links"), "known")
-    every = classes.select("h1", "h2", F.col("key").alias("copy_id"), F.col("th").alias("copy_th"), "copies").join(known, ["h1", "h2"], "left")
-    w = worded.select("key", "th", "h1", "h2").join(every, ["h1", "h2"])
+    every = stored(classes.select("h1", "h2", F.col("key").alias("copy_id"), F.col("th").alias("copy_th"), "copies").join(known, ["h1", "h2"], "left"), "every")
+    # Classes of more than a thousandth of all rows are fewer than a thousand: they are sent to their rows, which stay where they are.
+    most = (every.agg(F.sum("copies")).first()[0] or 0) / HOT
+    hot = F.broadcast(every.where(F.col("copies") > most))
+    named_rows = worded.select("key", "th", "h1", "h2")
+    w = named_rows.join(hot, ["h1", "h2"]).unionByName(named_rows.join(hot, ["h1", "h2"], "left_anti").join(every.where(F.col("copies") <= most), ["h1", "h2"]))
     some = F.col("class_th").isNotNull()
     w = w.withColumn("class_id", F.when(some, F.col("class_id")).otherwise(F.col("copy_id"))).withColumn("class_th", F.coalesce("class_th", "copy_th"))
     w = w.select("key", "th", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), (F.col("key").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th"))).alias("first"))
@@ -362,8 +376,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that stand for their classes, one of each, with the columns they came with. Wordless rows all stay."""
-    found = near_classes(docs, key, text, threshold)
-    told = stored(found.select(F.col(key).alias("_class_key"), F.col("th").alias("_class_text"), "first", F.col("n_copies").alias("_class_copies")), "first")
+    told = near_classes(docs, key, text, threshold).select(F.col(key).alias("_class_key"), F.col("th").alias("_class_text"), "first", F.col("n_copies").alias("_class_copies"))
     gone = told.where(~F.col("first")).select("_class_key", "_class_text").distinct()
     same = lambda: F.col(key).eqNullSafe(F.col("_class_key")) & (F.xxhash64(text) == F.col("_class_text"))
     kept = docs.join(gone, same(), "left_anti")
