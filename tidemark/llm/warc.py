@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_uniform, read, shared_dir, slices, stored
+from .common import keyed_uniform, read, scratch, shared_dir, slices, stored
 
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES, PIECES = 600, 16_384, 64 * 1024, 4
 LEVEL = 3
@@ -212,7 +212,8 @@ def archive(pages: DataFrame, folder: str, key: str = "page_id", payload: str =
         n = Archive.write(path, dictionary.value, chain([one], every))
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["archive", "records"])
 
-    return stored(chosen(pages, key, payload, url, least).mapInArrow(run, "archive string, records long"), "manifest")
+    with scratch(pages.sparkSession):
+        return stored(chosen(pages, key, payload, url, least).mapInArrow(run, "archive string, records long"), "manifest", keep=True)
 
 
 def records_of(archives: DataFrame, key_type: str) -> DataFrame:
