@@ -124,3 +124,38 @@ def test_interpolation_holds_the_ends(spark):
     frames = spark.createDataFrame([(1, 0, 10), (1, 4, 30)], "k int, at int, value int")
     points = spark.createDataFrame([(1, -2.0), (1, 0.0), (1, 1.0), (1, 4.0), (1, 9.0)], "k int, t double")
     assert {r.t: r.value for r in lookups.interpolated(points, frames, ["k"]).collect()} == {-2.0: 10.0, 0.0: 10.0, 1.0: 15.0, 4.0: 30.0, 9.0: 30.0}
+
+
+def test_repetition_against_all_units(spark):
+    import random
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(10))) * rng.randrange(1, 12) + "x" * rng.randrange(60) for _ in range(120)] + ["abcd" * 20, "", "z" * 40]
+
+    def plain(t):
+        # The first place where some unit stands four times in a row; the shortest unit there, as often as it goes on.
+        for i in range(len(t)):
+            for n in range(4, 65):
+                k = 1
+                while t[i + k * n : i + (k + 1) * n] == t[i : i + n] and len(t) >= i + (k + 1) * n:
+                    k += 1
+                if k >= 4:
+                    return k * n >= 32 and 2 * k * n >= len(t)
+        return False
+
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.repeats_itself(F.col("t")).alias("y")).collect()
+    assert {r.i: r.y for r in got} == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_quiet_cuts_against_a_plain_search():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=3000) * np.repeat(rng.uniform(0, 2, 300), 10)
+    cuts, at = [], 0
+    while len(x) - at > 700:
+        starts = range(at + 500, at + 700 - 50 + 1, 25)
+        energy = [float(np.square(x[i : i + 50]).sum()) for i in starts]
+        end = starts[int(np.argmin(energy))] + 25
+        cuts.append((at, end))
+        at = end
+    cuts.append((at, len(x)))
+    assert signals.quiet_cuts(x, 700, 500, 50, 25) == cuts
