@@ -100,7 +100,7 @@ def test_nodes_keep_sibling_order():
 
 def test_expansion_clips_and_finds_cycles(spark):
     uses = spark.createDataFrame([("d", None, 1, 100, 5, 10, False), ("d", 1, 2, 0, 0, 20, True), ("d", None, 3, 0, 0, 9, False), ("d", 3, 3, 0, 0, 9, False)], "doc string, media long, ref long, off long, start long, len long, leaf boolean")
-    got = {(r.ref, r.b, r.e, r.source, r.reason) for r in timeline.expanded(spark, uses).collect()}
+    got = {(r.ref, r.b, r.e, r.source, r.reason) for r in timeline.expanded(uses).collect()}
     assert got == {(2, 100, 110, 5, None), (3, 0, 9, 0, "cycle")}
 
 

@@ -76,9 +76,11 @@ def collision(rows: DataFrame, existing: DataFrame, keys: Sequence[str]) -> Data
     return out.select(*keys, status.alias("status"), "exact_matches", "overlapping", "existing")
 
 
-def point_in_interval(points: DataFrame, rows: DataFrame, keys: Sequence[str], order: str = "ord") -> DataFrame:
-    """JOIN15: for each instant the first interval (by order) that holds it."""
-    hit = points.join(rows, list(keys)).where((F.col("t") >= F.col("b")) & (F.col("t") < F.col("e")))
+def point_in_interval(points: DataFrame, rows: DataFrame, keys: Sequence[str], order: str = "ord", width: int = 64) -> DataFrame:
+    """JOIN15: for each instant the first interval (by order) that holds it. Both sides are dealt into time buckets of `width`, so a busy key is
+    spread over its time and an instant meets the intervals of its bucket alone."""
+    dealt = rows.where("b < e").withColumn("_t", F.explode(F.sequence(F.floor(F.col("b") / width), F.floor((F.col("e") - 1) / width))))
+    hit = points.withColumn("_t", F.floor(F.col("t") / width)).join(dealt, [*keys, "_t"]).where((F.col("t") >= F.col("b")) & (F.col("t") < F.col("e")))
     return hit.groupBy(*keys, "t").agg(F.min_by("id", order).alias("id"))
 
 
@@ -90,10 +92,20 @@ def piecewise(points: DataFrame, keys: Sequence[str], order: str = "out") -> Dat
     return seg.withColumn("reason", reason)
 
 
-def inverse_ranges(ranges: DataFrame, segments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """JOIN6: source ranges through the playing segments of a time map, clipped; numerators over the segment's source length, so exact."""
-    hit = ranges.join(segments.where("reason = 'play'"), list(keys)).where((F.col("b") < F.col("src_end")) & (F.col("src") < F.col("e")))
+def inverse_ranges(ranges: DataFrame, segments: DataFrame, keys: Sequence[str], width: int = 64) -> DataFrame:
+    """JOIN6, JOIN7: source ranges through the playing segments of a time map, clipped; numerators over the segment's source length, so exact.
+
+    Other columns of the ranges go along. A gain clock (scale, shift: gain time = scale * source + shift) is taken to the output:
+    source = src + (out' - out) den / span, so its scale and shift are numerators over `span`, the segment's output length.
+    Both sides are dealt into buckets of source time."""
+    playing = segments.where("reason = 'play'").withColumnRenamed("src", "b2").withColumnRenamed("src_end", "e2")
+    carried = [c for c in ranges.columns if c not in (*keys, "id", "b", "e", "scale", "shift")]
+    hit = overlaps(ranges, playing, keys, width).withColumnRenamed("b2", "src").withColumnRenamed("e2", "src_end")
     low, high = F.greatest("b", "src"), F.least("e", "src_end")
     den = F.col("src_end") - F.col("src")
     at = lambda x: F.col("out") * den + (x - F.col("src")) * (F.col("out_end") - F.col("out"))
-    return hit.select(*keys, "id", "out", at(low).alias("from_num"), at(high).alias("to_num"), den.alias("den"))
+    span = F.col("out_end") - F.col("out")
+    clock = []
+    if {"scale", "shift"} <= set(ranges.columns):
+        clock = [(F.col("scale") * den).alias("scale_num"), ((F.col("scale") * F.col("src") + F.col("shift")) * span - F.col("scale") * F.col("out") * den).alias("shift_num"), span.alias("span")]
+    return hit.select(*keys, "id", "out", at(low).alias("from_num"), at(high).alias("to_num"), den.alias("den"), *carried, *clock)

@@ -22,14 +22,15 @@ def looked_up(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
 def longest_prefix(rows: DataFrame, settings: DataFrame, name: str = "name", role: str = "role") -> DataFrame:
     """JOIN5: the most specific setting whose role equals the name or leads it up to a dot.
 
-    The dotted prefixes of a name are few, so they are made and joined by equality; no theta join."""
+    Names are far fewer than rows: each distinct name is resolved once, its few dotted prefixes joined by equality, and the rows look their
+    name up. No theta join, and nothing is numbered."""
+    names = rows.select(name).distinct()
     parts = F.split(name, r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
-    each = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_p", F.explode(prefixes))
-    hit = each.join(settings.withColumnRenamed(role, "_p"), "_p", "left")
-    rest = [c for c in hit.columns if c not in ("_p", "_row")]
-    best = F.max_by(F.struct(*rest, F.col("_p").alias("setting")), F.when(F.col("gain").isNotNull(), F.length("_p")).otherwise(-1))
-    return hit.groupBy("_row").agg(best.alias("_b")).select(*[F.col("_b")[c].alias(c) for c in rest], F.when(F.col("_b.gain").isNotNull(), F.col("_b.setting")).alias("setting"))
+    given = [c for c in settings.columns if c != role]
+    hit = names.withColumn("_p", F.explode(prefixes)).join(settings.withColumnRenamed(role, "_p"), "_p")
+    best = hit.groupBy(name).agg(F.max_by(F.struct(*given, F.col("_p").alias("setting")), F.length("_p")).alias("_b"))
+    return rows.join(best, name, "left").select(*rows.columns, *[F.col("_b")[c].alias(c) for c in given], F.col("_b.setting").alias("setting"))
 
 
 def grams(tokens: DataFrame, keys: Sequence[str], pos: str, word: str) -> DataFrame:
@@ -54,9 +55,14 @@ def voted(matches: DataFrame, keys: Sequence[str], top: int = 8) -> DataFrame:
 
 def interpolated(points: DataFrame, keyframes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """JOIN16: value at t between the keyframes around it, held at both ends. keyframes: keys, at, value; points: keys, t."""
+    # An as-of join as one ordered pass: keyframes and points in one order, each point after the last keyframe before it.
     w = Window.partitionBy(*keys).orderBy("at")
-    seg = keyframes.withColumn("at2", F.lead("at").over(w)).withColumn("value2", F.lead("value").over(w)).withColumn("first", F.row_number().over(w) == 1)
-    hit = points.join(seg, list(keys)).where(((F.col("t") >= F.col("at")) | F.col("first")) & (F.col("at2").isNull() | (F.col("t") < F.col("at2"))))
+    frame = F.struct("at", "value", F.lead("at").over(w).alias("at2"), F.lead("value").over(w).alias("value2"))
+    seg = keyframes.select(*keys, F.col("at").cast("double").alias("t"), F.lit(0).alias("_kind"), frame.alias("_f"))
+    both = seg.unionByName(points.select(*keys, F.col("t").cast("double").alias("t"), F.lit(1).alias("_kind")), allowMissingColumns=True)
+    order = Window.partitionBy(*keys).orderBy("t", "_kind")
+    last = F.coalesce(F.last("_f", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.min("_f").over(Window.partitionBy(*keys)))
+    hit = both.withColumn("_last", last).where("_kind = 1 AND _last IS NOT NULL").select(*keys, "t", "_last.*")
     share = (F.col("t") - F.col("at")) / (F.col("at2") - F.col("at"))
     value = F.when((F.col("t") <= F.col("at")) | F.col("at2").isNull(), F.col("value").cast("double")).otherwise(F.col("value") + (F.col("value2") - F.col("value")) * share)
     return hit.select(*keys, "t", value.alias("value"))
@@ -73,6 +79,19 @@ def newest_valid(rows: DataFrame, keys: Sequence[str], valid: Column, order: str
     return rows.where(valid).groupBy(*keys).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
 
 
+def ranked(rows: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
+    """ORD1: rows numbered from 1 in a total order. Ranges of the order are sorted apart; their offsets are running counts, one row for each range."""
+    from tidemark.shared import stored
+
+    dealt = stored(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each range, whatever the rows: their running sum is one small sort.
+    so_far = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_k", within).join(F.broadcast(offsets), "_range").select(*rows.columns, (F.col("_k") + F.col("_offset")).cast("long").alias(name))
+
+
 def ordered_distinct(rows: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
     """AGG8: distinct values of a key in order of first occurrence, as an array."""
     first = rows.groupBy(*keys, value).agg(F.min(order).alias("_o"))

@@ -41,9 +41,11 @@ def fil8_silence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CLIPS}, s AS (SELECT doc, ord, unnest(range(off, off + len)) AS a1, disc - 5 AS x, tax AS gain FROM clip UNION ALL SELECT doc, ord, unnest(range(off + 1, off + len + 2)), 5 - disc, 1 FROM clip) SELECT doc, a1 AS place, sum(x * gain)::BIGINT AS x FROM s GROUP BY ALL")
 def agg9_overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = clips(spark, sf_dir)
-    one = c.select("doc", F.explode(F.sequence(F.col("off"), F.col("off") + F.col("len") - 1)).alias("at"), (F.col("disc") - 5).alias("x"), F.col("tax").alias("gain"))
-    two = c.select("doc", F.explode(F.sequence(F.col("off") + 1, F.col("off") + F.col("len") + 1)).alias("at"), (5 - F.col("disc")).alias("x"), F.lit(1).cast("long").alias("gain"))
-    return G.mixed(one.unionByName(two), ["doc"]).withColumnRenamed("at", "place")
+    same = lambda n, x: F.transform(F.sequence(F.lit(1).cast("long"), n), lambda _: x)
+    one = c.select("doc", F.col("off").alias("at"), same(F.col("len"), F.col("disc") - 5).alias("xs"), F.col("tax").alias("gain"))
+    two = c.select("doc", (F.col("off") + 1).alias("at"), same(F.col("len") + 1, 5 - F.col("disc")).alias("xs"), F.lit(1).cast("long").alias("gain"))
+    mixed = G.mixed(one.unionByName(two), ["doc"], 64)
+    return mixed.select("doc", F.posexplode("xs").alias("p", "x"), "at").where("x IS NOT NULL").select("doc", (F.col("at") + F.col("p")).alias("place"), "x")
 
 
 @query(f"WITH {CLIPS}, s AS (SELECT doc, ord, unnest(range(off, off + len + 3)) AS a1, disc - 5 AS x, tax AS gain FROM clip) SELECT doc, a1 AS place, arg_max(x * gain, ord) AS x FROM s WHERE gain <> 0 GROUP BY ALL")
@@ -112,22 +114,21 @@ def fil22_signal_without_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where("chars <= 15 AND active >= 170 AND rms >= 3").select("stream", "chunk")
 
 
-@query()
-def win10_energy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.chunked(signal(spark, sf_dir), ["stream"], 250, 200, 10, 10)
+def cuts(most: int, search: int, step: int) -> str:
+    """Chunk after chunk in SQL: where the next one begins is the middle of the quietest ten samples."""
+    return f"""{SIGNAL}, en AS (SELECT stream, i, sum(x * x) OVER (PARTITION BY stream ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS level FROM sig), sz AS (SELECT stream, count(*) AS total FROM sig GROUP BY stream),
+ch(stream, chunk, b) AS (SELECT stream, 0, 0::BIGINT FROM sz UNION ALL SELECT ch.stream, chunk + 1, arg_min(i, (level, i)) + 5 FROM ch JOIN sz ON sz.stream = ch.stream JOIN en ON en.stream = ch.stream AND i >= b + {search} AND i <= b + {most - 10} AND (i - b - {search}) % {step} = 0 WHERE total - b > {most} GROUP BY ch.stream, chunk, b)
+SELECT ch.stream, chunk::INTEGER AS chunk, b AS begin, coalesce(lead(b) OVER (PARTITION BY ch.stream ORDER BY chunk), total) AS end FROM ch JOIN sz ON sz.stream = ch.stream"""
 
 
-@query(f"WITH {SIGNAL} SELECT stream, count(*)::BIGINT AS samples, true AS tiles, true AS bounded FROM sig GROUP BY stream")
-def win10_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks tile the stream, and none is longer than allowed."""
-    c = win10_energy_chunks(spark, sf_dir)
-    return c.groupBy("stream").agg(F.max("end").alias("samples"), (F.sum(F.col("end") - F.col("begin")) == F.max("end")).alias("tiles"), (F.max(F.col("end") - F.col("begin")) <= 250).alias("bounded"))
+@query("WITH RECURSIVE " + cuts(250, 200, 10))
+def win10_energy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.chunked(signal(spark, sf_dir), ["stream"], 250, 200, 10, 10)
 
 
-@query(f"WITH {SIGNAL} SELECT stream, count(*)::BIGINT AS samples, true AS bounded FROM sig GROUP BY stream")
+@query("WITH RECURSIVE " + cuts(600, 550, 1))
 def win11_cloud_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = G.chunked(signal(spark, sf_dir), ["stream"], 600, 550, 10, 1)
-    return c.groupBy("stream").agg(F.sum(F.col("end") - F.col("begin")).alias("samples"), (F.max(F.col("end") - F.col("begin")) <= 600).alias("bounded"))
+    return G.chunked(signal(spark, sf_dir), ["stream"], 600, 550, 10, 1)
 
 
 @query(f"WITH {SIGNAL} SELECT stream, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS sha FROM sig GROUP BY stream")

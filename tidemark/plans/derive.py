@@ -70,12 +70,12 @@ clip AS (SELECT l_orderkey AS doc, ord, l_partkey AS asset, l_suppkey AS effect,
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """stream, i, x: samples in hundredths; a stream for every sixteenth of the orders."""
+    """stream, i, x: samples in hundredths; a stream for every 2,048 order numbers, so there are more of them where there is more data."""
     c = clips(spark, sf_dir)
-    stream = F.pmod("doc", F.lit(16))
+    stream = F.floor(F.col("doc") / 2048).cast("long")
     return c.select(stream.alias("stream"), (F.row_number().over(Window.partitionBy(stream).orderBy("doc", "ord")) - 1).cast("long").alias("i"), (F.col("disc") - 5).alias("x"))
 
 
 SIGNAL = CLIPS + """,
-sig AS (SELECT doc % 16 AS stream, row_number() OVER (PARTITION BY doc % 16 ORDER BY doc, ord) - 1 AS i, disc - 5 AS x FROM clip)
+sig AS (SELECT doc // 2048 AS stream, row_number() OVER (PARTITION BY doc // 2048 ORDER BY doc, ord) - 1 AS i, disc - 5 AS x FROM clip)
 """

@@ -197,11 +197,11 @@ def fil24_removed_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips(spark, sf_dir).where((F.col("disc") > 5) & F.col("role").startswith("music")).select("doc", "ord", "off", "len")
 
 
-@query(f"WITH {WORDS}, s AS (SELECT doc, count(*) AS n, min(start_ms) AS b, max(end_ms) AS e FROM word GROUP BY doc) SELECT doc, n, row_number() OVER (ORDER BY b, e, doc) AS rank FROM s")
+@query(f"WITH {WORDS}, s AS (SELECT doc, count(*) AS n, min(start_ms) AS b, max(end_ms) AS e FROM word GROUP BY doc) SELECT doc, n, row_number() OVER (ORDER BY b, e, doc) AS rank, row_number() OVER (ORDER BY b, e, doc) <= 64 AS kept FROM s")
 def ord1_ord10_span_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order of documents by span; the ranked rows are one for each document."""
+    """Order of documents by span; the ranked rows are one for each document, and the first 64 are within the cap."""
     s = words(spark, sf_dir).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.min("start_ms").alias("b"), F.max("end_ms").alias("e"))
-    return s.select("doc", "n", F.row_number().over(Window.orderBy("b", "e", "doc")).alias("rank"))
+    return L.ranked(s, ["b", "e", "doc"]).select("doc", "n", "rank", (F.col("rank") <= 64).alias("kept"))
 
 
 @query("SELECT arg_min(conv_id, (text, conv_id)) AS first, min(text) AS text FROM conversations")

@@ -65,7 +65,7 @@ def snk3_title_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.payload(rows, "doc")
 
 
-NODES = "nd AS (SELECT doc, 0 AS id, NULL AS parent, 0 AS ord, 'spine' AS tag FROM clip GROUP BY doc UNION ALL SELECT doc, ord, 0, ord, CASE WHEN disc < 3 THEN 'title' ELSE 'clip' END FROM clip UNION ALL SELECT doc, 100 + ord, ord, 0, CASE WHEN tax < 3 THEN 'title' ELSE 'audio' END FROM clip)"
+NODES = "nd AS MATERIALIZED (SELECT doc, 0 AS id, NULL AS parent, 0 AS ord, 'spine' AS tag FROM clip GROUP BY doc UNION ALL SELECT doc, ord, 0, ord, CASE WHEN disc < 3 THEN 'title' ELSE 'clip' END FROM clip UNION ALL SELECT doc, 100 + ord, ord, 0, CASE WHEN tax < 3 THEN 'title' ELSE 'audio' END FROM clip)"
 
 
 @query(f"WITH {CLIPS}, {NODES} SELECT n.doc, n.id::BIGINT AS id, CASE n.tag WHEN 'title' THEN 'gap' ELSE n.tag END AS tag FROM nd n LEFT JOIN nd p ON p.doc = n.doc AND p.id = n.parent WHERE n.tag <> 'title' OR p.tag = 'spine'")

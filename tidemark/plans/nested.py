@@ -26,9 +26,9 @@ TREE = """
 nd AS (SELECT 'r' AS doc, r_regionkey::BIGINT AS id, NULL::BIGINT AS parent FROM region UNION ALL SELECT 'r', 1000 + n_nationkey, n_regionkey FROM nation UNION ALL SELECT 'r', 100000 + c_custkey, 1000 + c_nationkey FROM customer)
 """
 USES = CLIPS + """,
-us AS (SELECT doc, NULL::BIGINT AS media, effect AS ref, off, disc AS start, len, effect % 4 = 0 AS leaf FROM clip
- UNION ALL SELECT DISTINCT doc, effect, 100000 + effect % 7, effect % 5, 0, 20, effect % 2 = 0 FROM clip WHERE effect % 4 <> 0
- UNION ALL SELECT DISTINCT doc, 100000 + effect % 7, 200000 + effect % 3, 2, 1, 9, true FROM clip WHERE effect % 4 <> 0)
+us AS (SELECT doc, NULL::BIGINT AS media, effect AS ref, off, disc AS start, len, effect % 4 = 0 AS leaf, 1 + effect % 2 AS stretch, tax <> 3 AS enabled, 1 + tax AS gain, role FROM clip
+ UNION ALL SELECT DISTINCT doc, effect, 100000 + effect % 7, effect % 5, 0, 20, effect % 2 = 0, 1, effect % 5 <> 0, 2, NULL FROM clip WHERE effect % 4 <> 0
+ UNION ALL SELECT DISTINCT doc, 100000 + effect % 7, 200000 + effect % 3, 2, 1, 9, true, 3, true, 3, CASE WHEN effect % 3 = 0 THEN 'low' END FROM clip WHERE effect % 4 <> 0)
 """
 
 
@@ -42,30 +42,31 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = clips(spark, sf_dir)
-    none = F.lit(None).cast("long")
-    top = c.select("doc", none.alias("media"), F.col("effect").alias("ref"), "off", F.col("disc").alias("start"), "len", (F.col("effect") % 4 == 0).alias("leaf"))
+    none, one = F.lit(None).cast("long"), F.lit(1).cast("long")
+    top = c.select("doc", none.alias("media"), F.col("effect").alias("ref"), "off", F.col("disc").alias("start"), "len", (F.col("effect") % 4 == 0).alias("leaf"), (1 + F.col("effect") % 2).alias("stretch"), (F.col("tax") != 3).alias("enabled"), (1 + F.col("tax")).alias("gain"), "role")
     inner = c.where("effect % 4 <> 0")
-    mid = inner.select("doc", F.col("effect").alias("media"), (F.lit(100000) + F.col("effect") % 7).alias("ref"), (F.col("effect") % 5).alias("off"), F.lit(0).cast("long").alias("start"), F.lit(20).cast("long").alias("len"), (F.col("effect") % 2 == 0).alias("leaf")).distinct()
-    low = inner.select("doc", (F.lit(100000) + F.col("effect") % 7).alias("media"), (F.lit(200000) + F.col("effect") % 3).alias("ref"), F.lit(2).cast("long").alias("off"), F.lit(1).cast("long").alias("start"), F.lit(9).cast("long").alias("len"), F.lit(True).alias("leaf")).distinct()
+    mid = inner.select("doc", F.col("effect").alias("media"), (F.lit(100000) + F.col("effect") % 7).alias("ref"), (F.col("effect") % 5).alias("off"), F.lit(0).cast("long").alias("start"), F.lit(20).cast("long").alias("len"), (F.col("effect") % 2 == 0).alias("leaf"), one.alias("stretch"), (F.col("effect") % 5 != 0).alias("enabled"), (one * 2).alias("gain"), F.lit(None).cast("string").alias("role")).distinct()
+    low = inner.select("doc", (F.lit(100000) + F.col("effect") % 7).alias("media"), (F.lit(200000) + F.col("effect") % 3).alias("ref"), F.lit(2).cast("long").alias("off"), F.lit(1).cast("long").alias("start"), F.lit(9).cast("long").alias("len"), F.lit(True).alias("leaf"), (one * 3).alias("stretch"), F.lit(True).alias("enabled"), (one * 3).alias("gain"), F.when(F.col("effect") % 3 == 0, "low").alias("role")).distinct()
     return top.unionByName(mid).unionByName(low)
 
 
 @query(f"WITH RECURSIVE {TREE}, c(ancestor, id, depth) AS (SELECT id, id, 0 FROM nd UNION ALL SELECT c.ancestor, n.id, c.depth + 1 FROM c JOIN nd n ON n.parent = c.id) SELECT ancestor, id, depth FROM c")
 def rec1_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.closure(spark, tree(spark, sf_dir)).select("ancestor", "id", "depth")
+    return N.closure(tree(spark, sf_dir)).select("ancestor", "id", "depth")
 
 
 @query(f"WITH RECURSIVE {TREE}, u(id, up) AS (SELECT id, parent FROM nd JOIN customer ON id = 100000 + c_custkey WHERE c_acctbal < 0 UNION SELECT n.id, n.parent FROM u JOIN nd n ON n.id = u.up) SELECT DISTINCT id FROM u")
 def fil5_fil6_subtree_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tree(spark, sf_dir)
-    return N.subtree_exists(spark, t, table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.lit("r").alias("doc"), (F.lit(100000) + F.col("c_custkey")).alias("id"))).select("id")
+    return N.subtree_exists(t, table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.lit("r").alias("doc"), (F.lit(100000) + F.col("c_custkey")).alias("id"))).select("id")
 
 
-@query(f"""WITH RECURSIVE {USES}, w(doc, ref, leaf, origin, start, b, e, depth) AS (SELECT doc, ref, leaf, off, start, off, off + len, 0 FROM us WHERE media IS NULL
-UNION ALL SELECT w.doc, u.ref, u.leaf, w.origin + u.off - w.start, u.start, greatest(w.b, w.origin + u.off - w.start), least(w.e, w.origin + u.off - w.start + u.len), w.depth + 1 FROM w JOIN us u ON u.doc = w.doc AND u.media = w.ref
-WHERE NOT w.leaf AND greatest(w.b, w.origin + u.off - w.start) < least(w.e, w.origin + u.off - w.start + u.len)) SELECT doc, ref, b, e, b - origin + start AS source, depth FROM w WHERE leaf""")
+@query(f"""WITH RECURSIVE {USES}, w(doc, ref, leaf, origin, start, b, e, depth, clock, enabled, gain, role) AS (SELECT doc, ref, leaf, off, start, off, off + len * stretch, 0, stretch, enabled, gain, role FROM us WHERE media IS NULL
+UNION ALL SELECT doc, ur, ul, o, us_, greatest(b, o), least(e, o + clock * k * n), depth + 1, clock * k, on_, g, r FROM (SELECT w.doc, u.ref AS ur, u.leaf AS ul, w.origin + w.clock * (u.off - w.start) AS o, u.start AS us_, w.b, w.e, w.clock, u.stretch AS k, u.len AS n, w.depth, w.enabled AND u.enabled AS on_, w.gain * u.gain AS g, coalesce(u.role, w.role) AS r
+  FROM w JOIN us u ON u.doc = w.doc AND u.media = w.ref WHERE NOT w.leaf) WHERE greatest(b, o) < least(e, o + clock * k * n))
+SELECT doc, ref, b, e, b - origin + clock * start AS source, clock, depth, enabled, gain, role FROM w WHERE leaf""")
 def rec1_rec2_join3_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.expanded(spark, uses(spark, sf_dir)).where("reason IS NULL").select("doc", "ref", "b", "e", "source", "depth")
+    return N.expanded(uses(spark, sf_dir)).where("reason IS NULL").drop("reason", "frame")
 
 
 @query(f"WITH {TREE} SELECT p.id, count(*) AS children, count(*) FILTER (c.id % 3 = 0) AS audio FROM nd c JOIN nd p ON c.parent = p.id GROUP BY p.id")

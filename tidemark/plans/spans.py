@@ -109,9 +109,9 @@ def win13_piecewise_time_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return time_map(spark, sf_dir)
 
 
-@query(f"WITH {MAP}, rg AS (SELECT doc, ord AS id, off * 2 + 3 AS b, off * 2 + len + 3 AS e FROM clip) SELECT doc, id, out, out * (src_end - src) + (greatest(b, src) - src) * (out_end - out) AS from_num, out * (src_end - src) + (least(e, src_end) - src) * (out_end - out) AS to_num, src_end - src AS den FROM rg JOIN seg USING (doc) WHERE reason = 'play' AND b < src_end AND src < e")
+@query(f"WITH {MAP}, rg AS (SELECT doc, ord AS id, off * 2 + 3 AS b, off * 2 + len + 3 AS e, role, tax AS scale, disc AS shift FROM clip) SELECT doc, id, role, scale * (src_end - src) AS scale_num, (scale * src + shift) * (out_end - out) - scale * out * (src_end - src) AS shift_num, out_end - out AS span, out, out * (src_end - src) + (greatest(b, src) - src) * (out_end - out) AS from_num, out * (src_end - src) + (least(e, src_end) - src) * (out_end - out) AS to_num, src_end - src AS den FROM rg JOIN seg USING (doc) WHERE reason = 'play' AND b < src_end AND src < e")
 def join6_join7_inverse_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = clips(spark, sf_dir).select("doc", F.col("ord").alias("id"), (F.col("off") * 2 + 3).alias("b"), (F.col("off") * 2 + F.col("len") + 3).alias("e"))
+    ranges = clips(spark, sf_dir).select("doc", F.col("ord").alias("id"), (F.col("off") * 2 + 3).alias("b"), (F.col("off") * 2 + F.col("len") + 3).alias("e"), "role", F.col("tax").alias("scale"), F.col("disc").alias("shift"))
     return I.inverse_ranges(ranges, time_map(spark, sf_dir), ["doc"])
 
 

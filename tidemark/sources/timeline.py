@@ -12,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.shared import stored
+
+#: Levels of nesting that a document may have.
+DEEPEST = 128
 MOST_BYTES = 16 * 1024 * 1024
 NODES = "doc string, id long, parent long, ord int, tag string, attrs map<string,string>, text string, ok boolean, reason string"
 
@@ -57,44 +61,80 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, NODES)
 
 
-def closure(spark: SparkSession, nodes: DataFrame, depth: int = 128) -> DataFrame:
-    """FIL5, FIL6: ancestor, node, depth of every pair in a subtree, the node itself at depth 0. nodes: doc, id, parent."""
-    nodes.createOrReplaceTempView("_closure_nodes")
-    return spark.sql(f"""
-        WITH RECURSIVE c(doc, ancestor, id, depth) MAX RECURSION LEVEL {depth + 2} AS (
-            SELECT doc, id, id, 0 FROM _closure_nodes
-            UNION ALL
-            SELECT c.doc, c.ancestor, n.id, c.depth + 1 FROM c JOIN _closure_nodes n ON n.doc = c.doc AND n.parent = c.id WHERE c.depth < {depth}
-        ) SELECT * FROM c""")
-
-
-def subtree_exists(spark: SparkSession, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """FIL5, FIL6: nodes that have one of `wanted` (doc, id) in their subtree: by walking up from these, so work follows the hits."""
-    nodes.createOrReplaceTempView("_subtree_nodes")
-    wanted.createOrReplaceTempView("_subtree_wanted")
-    return spark.sql("""
-        WITH RECURSIVE u(doc, id, up) MAX RECURSION LEVEL 200 AS (
-            SELECT n.doc, n.id, n.parent FROM _subtree_nodes n LEFT SEMI JOIN _subtree_wanted w ON n.doc = w.doc AND n.id = w.id
-            UNION ALL
-            SELECT n.doc, n.id, n.parent FROM u JOIN _subtree_nodes n ON n.doc = u.doc AND n.id = u.up
-        ) SELECT DISTINCT doc, id FROM u""")
-
-
-def expanded(spark: SparkSession, uses: DataFrame, depth: int = 128) -> DataFrame:
-    """REC1, JOIN3, FIL3: absolute intervals of leaves through nested containers.
-
-    uses: media (the container it stands in; NULL: the main storyline), ref (what it shows), off, start, len, leaf.
-    An inner item at `off` of a container used with origin o, inner start s, and bounds [b, e) lies at
-    o + off - s, clipped to [b, e). A path that meets a container again is cut there with reason 'cycle'.
+def closure(nodes: DataFrame, depth: int = DEEPEST) -> DataFrame:
+    """FIL5, FIL6: doc, ancestor, id, depth of every pair in a subtree, the node itself at depth 0. nodes: doc, id, parent.
+
+    Level by level: each level is written before the next, so a plan holds one join, and rows and levels have no limit but depth."""
+    children = stored(nodes.select("doc", F.col("id").alias("child"), "parent"), "children")
+    level = stored(nodes.select("doc", F.col("id").alias("ancestor"), "id", F.lit(0).alias("depth")), "closure")
+    every = level
+    for k in range(1, depth + 1):
+        below = level.join(children.withColumnRenamed("parent", "id"), ["doc", "id"]).select("doc", "ancestor", F.col("child").alias("id"), F.lit(k).alias("depth"))
+        level = stored(below, "closure")
+        if level.isEmpty():
+            break
+        every = every.unionByName(level)
+    return every
+
+
+def subtree_exists(nodes: DataFrame, wanted: DataFrame, depth: int = DEEPEST) -> DataFrame:
+    """FIL5, FIL6: nodes that have one of `wanted` (doc, id) in their subtree: by walking up from these, so work follows the hits.
+
+    Each level keeps every node once, and those seen before are not walked again."""
+    up = stored(nodes.select("doc", "id", "parent"), "parents")
+    level = stored(wanted.select("doc", "id").distinct().join(up, ["doc", "id"]), "subtree")
+    every = level.select("doc", "id")
+    for _ in range(depth):
+        above = level.select("doc", F.col("parent").alias("id")).where("id IS NOT NULL").distinct().join(every, ["doc", "id"], "left_anti")
+        level = stored(above.join(up, ["doc", "id"]), "subtree")
+        if level.isEmpty():
+            break
+        every = every.unionByName(level.select("doc", "id"))
+    return every
+
+
+def expanded(uses: DataFrame, depth: int = DEEPEST) -> DataFrame:
+    """REC1, REC2, JOIN3, FIL3: absolute intervals of leaves through nested containers, with what they inherit.
+
+    uses: doc, media (the container it stands in; NULL: the main storyline), ref (what it shows), off, start, len, leaf; and,
+    where there are such columns, stretch (whole: times slower than its container), enabled, gain, role, frame.
+    An inner item at `off` of a container used with origin o, inner start s, clock k and bounds [b, e) lies at
+    o + k (off - s), is k times as long, and is clipped to [b, e). Clocks multiply on the way down, so source times are kept as
+    source / clock. An item is enabled if all above it are; gains multiply; role and frame are the innermost that is set.
+    A path that meets a container again is cut there with reason 'cycle', one beyond `depth` with 'deep'.
+
+    Level by level: each frontier is written before the next, so rows have no limit and a plan holds one join.
     """
-    uses.createOrReplaceTempView("_uses")
-    walked = spark.sql(f"""
-        WITH RECURSIVE w(doc, ref, leaf, origin, start, b, e, path, depth, reason) MAX RECURSION LEVEL {depth + 2} AS (
-            SELECT doc, ref, leaf, off, start, off, off + len, array(ref), 0, CAST(NULL AS STRING) FROM _uses WHERE media IS NULL
-            UNION ALL
-            SELECT w.doc, u.ref, u.leaf, w.origin + u.off - w.start, u.start, greatest(w.b, w.origin + u.off - w.start), least(w.e, w.origin + u.off - w.start + u.len),
-                   concat(w.path, array(u.ref)), w.depth + 1, CASE WHEN array_contains(w.path, u.ref) THEN 'cycle' WHEN w.depth >= {depth - 1} THEN 'deep' END
-            FROM w JOIN _uses u ON u.doc = w.doc AND u.media = w.ref
-            WHERE NOT w.leaf AND w.reason IS NULL AND greatest(w.b, w.origin + u.off - w.start) < least(w.e, w.origin + u.off - w.start + u.len)
-        ) SELECT * FROM w""")
-    return walked.where("leaf OR reason IS NOT NULL").select("doc", "ref", "b", "e", (F.col("b") - F.col("origin") + F.col("start")).alias("source"), "depth", "reason")
+    has = set(uses.columns)
+    use = stored(
+        uses.select(
+            "doc", "media", "ref", "off", "start", "len", "leaf",
+            (F.col("stretch") if "stretch" in has else F.lit(1)).cast("long").alias("stretch"),
+            (F.col("enabled") if "enabled" in has else F.lit(True)).alias("enabled"),
+            (F.col("gain") if "gain" in has else F.lit(1)).alias("gain"),
+            (F.col("role") if "role" in has else F.lit(None).cast("string")).alias("role"),
+            (F.col("frame") if "frame" in has else F.lit(None).cast("string")).alias("frame"),
+        ),
+        "uses",
+    )
+    inner = use.select("doc", F.col("media").alias("ref"), *[F.col(c).alias(f"u_{c}") for c in use.columns if c not in ("doc", "media")])
+    top = use.where("media IS NULL").select("doc", "ref", "leaf", F.col("off").alias("origin"), "start", F.col("off").alias("b"), (F.col("off") + F.col("len") * F.col("stretch")).alias("e"), F.array("ref").alias("path"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("reason"), F.col("stretch").alias("clock"), "enabled", "gain", "role", "frame")
+    level = stored(top, "frontier")
+    every = level
+    for k in range(1, depth + 1):
+        met = level.where("NOT leaf AND reason IS NULL").join(inner, ["doc", "ref"])
+        at = F.col("origin") + F.col("clock") * (F.col("u_off") - F.col("start"))
+        clock = F.col("clock") * F.col("u_stretch")
+        met = met.withColumn("at", at).withColumn("low", F.greatest("b", "at")).withColumn("high", F.least(F.col("e"), F.col("at") + clock * F.col("u_len"))).where("low < high")
+        reason = F.when(F.array_contains("path", F.col("u_ref")), "cycle").when(F.lit(k >= depth), "deep")
+        below = met.select(
+            "doc", F.col("u_ref").alias("ref"), F.col("u_leaf").alias("leaf"), F.col("at").alias("origin"), F.col("u_start").alias("start"), F.col("low").alias("b"), F.col("high").alias("e"),
+            F.concat("path", F.array("u_ref")).alias("path"), F.lit(k).alias("depth"), reason.alias("reason"), clock.alias("clock"),
+            (F.col("enabled") & F.col("u_enabled")).alias("enabled"), (F.col("gain") * F.col("u_gain")).alias("gain"), F.coalesce("u_role", "role").alias("role"), F.coalesce("u_frame", "frame").alias("frame"),
+        )
+        level = stored(below, "frontier")
+        if level.isEmpty():
+            break
+        every = every.unionByName(level)
+    source = (F.col("b") - F.col("origin") + F.col("clock") * F.col("start")).alias("source")
+    return every.where("leaf OR reason IS NOT NULL").select("doc", "ref", "b", "e", source, "clock", "depth", "reason", "enabled", "gain", "role", "frame")

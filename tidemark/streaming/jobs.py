@@ -5,7 +5,6 @@ Every stream here runs over files and to a sink in a folder, so a run can be sto
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,15 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the session's checkpoints."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="tidemark-stream-")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tidemark.shared import folder, shared_dir  # noqa: F401
 
 
 def polled(spark: SparkSession, path: str, schema, per_batch: int = 1) -> DataFrame:  # noqa: ANN001
