@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import gains
 from tidemark.functions import rational as R
 from tidemark.functions import text as T
 from tidemark.operators import folds, lookups, sessions, signals
@@ -77,7 +78,7 @@ def test_quiet_cuts():
 
 @pytest.mark.parametrize("kind", ["linear", "easeOut", "easeIn", "other"])
 def test_easing_ends(spark, kind):
-    assert [round(one(spark, signals.easing(F.lit(kind), F.lit(p))), 12) for p in (-1.0, 0.0, 1.0, 2.0)] == [0, 0, 1, 1]
+    assert [round(one(spark, gains.easing(F.lit(kind), F.lit(p))), 12) for p in (-1.0, 0.0, 1.0, 2.0)] == [0, 0, 1, 1]
 
 
 def test_longest_prefix(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import gains as A
 from tidemark.functions import rational as R
 from tidemark.operators import signals as G
 from tidemark.plans.derive import CLIPS, SIGNAL, clips, signal, table
@@ -75,24 +76,63 @@ CURVE = "CASE p_partkey % 4 WHEN 0 THEN p WHEN 1 THEN sin(p * pi() / 2) WHEN 2 T
 
 @query(f"SELECT p_partkey, round({CURVE}, 9) AS y FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS p FROM part)")
 def mat2_fade_easing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.get(F.array(*[F.lit(x) for x in ("linear", "easeOut", "easeIn", "easeInOut")]), (F.col("p_partkey") % 4).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(G.easing(kind, F.col("p_size") / 50.0), 9).alias("y"))
+    kind = F.get(F.array(*[F.lit(x) for x in ("linear", "easeIn", "easeOut", "easeInOut")]), (F.col("p_partkey") % 4).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(A.easing(kind, F.col("p_size") / 50.0), 9).alias("y"))
 
 
-@query(f"""WITH {CLIPS}, e AS (SELECT doc, ord, 2 AS scale, disc AS shift, len * 2 AS length, disc - 5 AS base, tax AS fi, disc AS fo FROM clip), p AS (SELECT DISTINCT doc, off AS t FROM clip),
-g AS (SELECT e.doc, t, pow(10.0, base / 20.0) * CASE WHEN fi > 0 THEN least(greatest((2 * t + shift) / fi::DOUBLE, 0), 1) ELSE 1 END * CASE WHEN fo > 0 THEN least(greatest((length - (2 * t + shift)) / fo::DOUBLE, 0), 1) ELSE 1 END AS g FROM p JOIN e USING (doc))
-SELECT doc, t, round(list_product(list(g)), 9) AS gain FROM g GROUP BY ALL""")
-def mat3_mat5_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, ord, t, g: clips with a gain of one curve: a clock, two fades, and for two clips in three two or three keyframes."""
     c = clips(spark, sf_dir)
-    env = c.select("doc", F.lit(2).alias("scale"), F.col("disc").alias("shift"), (F.col("len") * 2).alias("length"), (F.col("disc") - 5).alias("base"), F.col("tax").alias("fade_in"), F.col("disc").alias("fade_out"), F.lit("linear").alias("kind"))
-    return G.gain_at(c.select("doc", F.col("off").alias("t")).distinct(), env, ["doc"]).select("doc", "t", F.round("gain", 9).alias("gain"))
+    fade = lambda n, kind: F.struct(n.cast("double").alias("length"), kind.alias("kind"))
+    kind = F.get(F.array(*[F.lit(x) for x in ("linear", "easeIn", "easeOut", "both")]), (F.col("asset") % 4).cast("int"))
+    key = lambda at, db: F.struct(at.cast("double").alias("time"), db.cast("double").alias("db"))
+    two = [key(F.col("disc"), F.col("tax") - 9), key(F.col("disc") + F.col("tax") + 1, F.col("disc") - 3)]
+    keys = F.when(F.col("asset") % 3 == 1, F.array(*two)).when(F.col("asset") % 3 == 2, F.array(*two, key(F.col("disc") + F.col("tax") + 5, F.lit(-20))))
+    keys = F.coalesce(keys, F.array().cast("array<struct<time:double,db:double>>"))
+    curve = F.struct(F.lit(0.5).alias("scale"), F.col("disc").cast("double").alias("shift"), (F.col("len") * 2).cast("double").alias("length"), (F.col("disc") - 5).cast("double").alias("base"), fade(F.col("tax"), kind).alias("fade_in"), fade(F.col("disc"), kind).alias("fade_out"), keys.alias("keys"))
+    return c.select("doc", "ord", "off", "len", "disc", "tax", A.gain((F.col("tax") + 1) / 4.0, F.array(curve)).alias("g"), curve.alias("curve"))
 
 
-@query(f"WITH {CLIPS} SELECT doc, ord, 2 * 3 AS scale, 3 * disc + off AS shift FROM clip")
+ENVELOPE = CLIPS + """,
+ev AS (SELECT doc, ord, off, len, disc, tax, asset % 4 AS kind, asset % 3 AS n, (tax + 1) / 4.0::DOUBLE AS factor, 0.5::DOUBLE AS scale, disc::DOUBLE AS shift FROM clip),
+ky AS (SELECT *, disc::DOUBLE AS t1, pow(10, (tax - 9) / 20.0::DOUBLE) AS a1, (disc + tax + 1)::DOUBLE AS t2, pow(10, (disc - 3) / 20.0::DOUBLE) AS a2, (disc + tax + 5)::DOUBLE AS t3, pow(10, -20 / 20.0::DOUBLE) AS a3 FROM ev)
+"""
+
+
+def ease(p: str) -> str:
+    x = f"least(greatest({p}, 0), 1)"
+    return f"CASE kind WHEN 0 THEN {x} WHEN 1 THEN sin({x} * pi() / 2) WHEN 2 THEN 1 - cos({x} * pi() / 2) ELSE (1 - cos({x} * pi())) / 2 END"
+
+
+LEVEL = f"""CASE n WHEN 0 THEN 1 ELSE (CASE WHEN age <= t1 THEN a1 WHEN age < t2 THEN a1 + (a2 - a1) * (age - t1) / (t2 - t1) WHEN n = 1 THEN a2 WHEN age < t3 THEN a2 + (a3 - a2) * (age - t2) / (t3 - t2) ELSE a3 END) / pow(10, (disc - 5) / 20.0::DOUBLE) END
+ * CASE WHEN tax > 0 THEN {ease("age / tax::DOUBLE")} ELSE 1 END * CASE WHEN disc > 0 THEN {ease("(2 * len - age) / disc::DOUBLE")} ELSE 1 END"""
+
+
+@query(f"WITH {ENVELOPE} SELECT doc, ord, t, round(factor * {LEVEL}, 9) AS gain FROM (SELECT *, scale * t + shift AS age FROM (SELECT *, unnest(range(0, 24, 3)) AS t FROM ky))")
+def mat3_keyframed_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight times of every clip's curve."""
+    at = envelopes(spark, sf_dir).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(21).cast("long"), F.lit(3).cast("long"))))
+    return at.select("doc", "ord", "t", F.round(A.gain_at(F.col("g"), F.col("t").cast("double")), 9).alias("gain"))
+
+
+@query(f"""WITH {ENVELOPE}, a AS (SELECT *, scale * 7 + shift AS age FROM ky), v AS (SELECT *, factor * {LEVEL} AS g FROM a), p AS (SELECT x.doc, x.ord, x.g AS g, y.g AS h, x.factor AS f, x.disc AS d, y.factor AS k FROM v x JOIN v y ON y.doc = x.doc AND y.ord = x.ord + 1)
+SELECT doc, ord, round(g * h, 9) AS product, round(g / k, 9) AS quotient, CASE WHEN d > 0 THEN round(f * k / d, 9) END AS static, true AS refused FROM p""")
+def mat5_gain_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products and quotients of each clip's gain with the next one's; a curve does not divide, and static gains fold to one factor."""
+    e = envelopes(spark, sf_dir)
+    after = e.select("doc", (F.col("ord") - 1).alias("ord"), F.col("g").alias("h"))
+    p = e.join(after, ["doc", "ord"])
+    t, flat = F.lit(7.0), A.gain(F.col("h.factor"))
+    plain = A.over(A.times(A.gain(F.col("g.factor")), flat), A.gain(F.col("disc")))
+    return p.select("doc", "ord", F.round(A.gain_at(A.times(F.col("g"), F.col("h")), t), 9).alias("product"), F.round(A.gain_at(A.over(F.col("g"), flat), t), 9).alias("quotient"), F.round(A.static(plain), 9).alias("static"), A.over(F.col("g"), F.col("h")).isNull().alias("refused"))
+
+
+@query(f"WITH {CLIPS} SELECT doc, ord, 0.5::DOUBLE * ((off + 3) + 2 * (t - off)) + disc AS age, t FROM (SELECT *, unnest([off, off + 1, off + len]) AS t FROM clip)")
 def mat4_clock_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scale, shift) of one clock after another: s2 * (s1 t + c1) + c2."""
-    a, b = (F.lit(2), F.col("disc")), (F.lit(3), F.col("off"))
-    return clips(spark, sf_dir).select("doc", "ord", (b[0] * a[0]).alias("scale"), (b[0] * a[1] + b[1]).alias("shift"))
+    """A curve's clock after a clip that plays its source from off + 3, twice as fast: the same age at every time."""
+    e = envelopes(spark, sf_dir)
+    moved = e.select("doc", "ord", A.remapped(F.col("curve"), F.col("off") + 3, F.col("off"), F.lit(2)).alias("c"), F.explode(F.array(F.col("off"), F.col("off") + 1, F.col("off") + F.col("len"))).alias("t"))
+    return moved.select("doc", "ord", (F.col("c.scale") * F.col("t") + F.col("c.shift")).alias("age"), "t")
 
 
 @query(f"WITH {CLIPS}, b AS (SELECT doc, ord, len, off, unnest(range(0, (len + 9) // 10)) AS k FROM clip) SELECT doc, ord, k, off + k * 10 AS out_from, off + least(len, k * 10 + 10) AS out_to, (k * 10) * 3 // 2 AS src_from, least(len, k * 10 + 10) * 3 // 2 AS src_to FROM b")

@@ -64,10 +64,33 @@ def src8_src9_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.valid_requests(raw).select("id", "reason")
 
 
-@query(f"WITH {REQUESTS}, rs AS (SELECT event_id AS id, event_type AS status FROM events WHERE value > 100) SELECT rq.id, coalesce(status, 'pending') AS status FROM rq LEFT JOIN rs ON rq.id = rs.id")
+@query("""WITH rq AS (SELECT event_id AS id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE user_id END AS uid, 'small' AS model, event_type AS vocabulary, value, props FROM events)
+SELECT id, CASE WHEN NOT value > 20 THEN 'pending' WHEN id % 9 = 0 OR id % 8 = 0 AND uid IS NOT NULL THEN 'foreign' WHEN id % 7 = 0 THEN 'damaged' ELSE 'ready' END AS status,
+CASE WHEN value > 20 AND NOT (id % 9 = 0 OR id % 8 = 0 AND uid IS NOT NULL) AND id % 7 <> 0 THEN props END AS payload FROM rq""")
 def snk8_snk15_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return J.matched_responses(e.select(F.col("event_id").alias("id")), e.where("value > 100").select(F.col("event_id").alias("id"), F.col("event_type").alias("status")))
+    """Responses to most requests: some are of another model or user, some were damaged after their digest was written."""
+    n = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(n.alias("id"), F.when(n % 10 != 0, F.col("user_id")).alias("uid"), F.lit("small").alias("model"), F.col("event_type").alias("vocabulary"), "value", "props")
+    i = F.col("id")
+    answers = e.where("value > 20").select("id", F.when(i % 8 != 0, F.col("uid")).alias("uid"), F.when(i % 9 == 0, "large").otherwise("small").alias("model"), "vocabulary", F.lit("ready").alias("status"), F.when(i % 7 == 0, F.concat("props", F.lit(" "))).otherwise(F.col("props")).alias("payload"), F.sha2("props", 256).alias("sha"))
+    return J.published(e.select("id", "uid", "model", "vocabulary"), answers).select("id", "status", "payload")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'cancelled' WHEN value * 1000 > CASE event_id % 4 WHEN 0 THEN 14400 WHEN 1 THEN 86400 WHEN 2 THEN 60 ELSE 1800 END THEN 'timed out' ELSE 'running' END AS verdict FROM events")
+def stm7_time_outs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    kind = F.get(F.array(*map(F.lit, ("job", "model", "decode", "cloud"))), (n % 4).cast("int"))
+    e = table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), F.lit(0.0).alias("started_ms"), (F.col("value") * 1000000).alias("now_ms"), (n % 13 == 0).alias("cancelled"))
+    return J.timed_out(e).select("event_id", "verdict")
+
+
+@query(f"""WITH {INTERVALS}, n AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY u ORDER BY b, id) THEN 0 ELSE 1 END AS new FROM iv),
+r AS (SELECT *, sum(new) OVER (PARTITION BY u ORDER BY b, id) AS run FROM n) SELECT u, arg_min(id, (b, id)) AS first, arg_max(id, (b, id)) AS last, count(*)::INTEGER AS n FROM r GROUP BY u, run HAVING count(*) >= 3""")
+def stm4_updated_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings whose end moves while the run goes on: every update is a row, the newest of each counts."""
+    b = F.unix_micros(F.col("ts").cast("timestamp"))
+    s = event_stream(spark, sf_dir).select(F.col("user_id").alias("u"), F.col("event_id").alias("id"), b.alias("b"), F.col("event_type").alias("text"))
+    return J.latest(J.run_to_files(J.repeat_warnings(s, "u"), J.folder(spark, "warnings")), ["u", "first"])
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")

@@ -88,9 +88,57 @@ def once(stream: DataFrame, where: str, key: str, work: Callable[[DataFrame], Da
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start().awaitTermination()
 
 
-def matched_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """SNK8: requests with their answer: the same id and inputs; others are pending."""
-    return requests.join(responses, "id", "left").select(*requests.columns, F.coalesce("status", F.lit("pending")).alias("status"))
+IDENTITY = ("uid", "model", "vocabulary")
+
+
+def published(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """SNK8, SNK15, JOIN17: what is told about each request. Identity is compared again (NULL equals NULL), and a payload is shown only if
+    it has the digest that was written with it: status pending, foreign, damaged or the response's own; payload or NULL."""
+    answer = responses.select("id", *[F.col(c).alias(f"_{c}") for c in IDENTITY], "status", "payload", "sha").withColumn("_there", F.lit(True))
+    both = requests.join(answer, "id", "left")
+    same = F.lit(True)
+    for c in IDENTITY:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    whole = F.sha2("payload", 256).eqNullSafe(F.col("sha"))
+    status = F.when(F.col("_there").isNull(), "pending").when(~same, "foreign").when(~whole, "damaged").otherwise(F.col("status"))
+    return both.select(*requests.columns, status.alias("status"), F.when(same & whole, F.col("payload")).alias("payload"))
+
+
+#: Seconds after which work of a kind is given up.
+LIMITS = {"job": 4 * 3600, "model": 24 * 3600, "decode": 60, "cloud": 1800}
+
+
+def timed_out(work: DataFrame, now: str = "now_ms") -> DataFrame:
+    """STM7: running work (kind, started_ms, cancelled) with its verdict at `now`: cancelled, timed out, or going on."""
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in LIMITS.items() for x in kv]), F.col("kind")) * 1000
+    return work.withColumn("verdict", F.when(F.col("cancelled"), "cancelled").when(F.col(now) - F.col("started_ms") > limit, "timed out").otherwise("running"))
+
+
+def repeat_warnings(stream: DataFrame, key: str, least: int = 3) -> DataFrame:
+    """STM4: a warning (first, last, n, version) once `least` equal texts in a row have come, and again, with a later end, each time the run goes on.
+
+    Rows: key, id, b, text. Every update is emitted; latest() keeps the newest version of each. State is five values."""
+    kinds = dict(stream.dtypes)
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        text, first, last, n, version = state.get if state.exists else (None, -1, -1, 0, 0)
+        out = []
+        for r in pd.concat(list(frames)).sort_values(["b", "id"]).itertuples():
+            text, first, n = (text, first, n + 1) if text is not None and r.text == text else (r.text, int(r.id), 1)
+            last = int(r.id)
+            if n >= least:
+                version += 1
+                out.append((k[0], first, last, n, version))
+        state.update((text, first, last, n, version))
+        yield pd.DataFrame(out, columns=[key, "first", "last", "n", "version"])
+
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, first long, last long, n int, version long", "text string, first long, last long, n int, version long", "append", GroupStateTimeout.NoTimeout)
+
+
+def latest(updates: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
+    """The newest version of each row."""
+    rest = [c for c in updates.columns if c not in (*keys, version)]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_r")).select(*keys, "_r.*")
 
 
 def valid_requests(raw: DataFrame) -> DataFrame:
