@@ -27,11 +27,14 @@ def union_length(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def merged(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ("b", "e", "id")) -> DataFrame:
-    """WIN5: islands of overlapping intervals, by the running end; touching ones stay apart."""
+    """WIN5: islands of overlapping intervals, by the running end; touching ones stay apart. Texts, if there are, are put together in order."""
     before = F.max("e").over(_so_far(keys, order))
     marked = rows.withColumn("_new", F.when(F.col("b") < before, 0).otherwise(1))
     island = F.sum("_new").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("island", island.cast("long")).groupBy(*keys, "island").agg(F.min("b").alias("b"), F.max("e").alias("e"), F.count(F.lit(1)).alias("n"))
+    said = []
+    if "text" in rows.columns:
+        said = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda r: r["text"]), "").alias("text")]
+    return marked.withColumn("island", island.cast("long")).groupBy(*keys, "island").agg(F.min("b").alias("b"), F.max("e").alias("e"), F.count(F.lit(1)).alias("n"), *said)
 
 
 def tiled(rows: DataFrame, total: DataFrame, key: str = "doc", order: str = "caption_no") -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.derive import CLIPS, SIGNAL, clips, signal, table
-from tidemark.plans.tokens import BLOCKS, slice_caption_conversations
+from tidemark.plans.tokens import BLOCKS, blocks, slice_caption_conversations
 from tidemark.sources import pcm as P
+from tidemark.sources.cloud import results
 
 QUERIES, ORACLES = {}, {}
 
@@ -34,10 +35,14 @@ def src6_src7_read_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("stream", "start", F.size("samples").cast("long").alias("n"), total.alias("total"), "ok")
 
 
-@query("SELECT page_id, regexp_matches(lower(url), '\\.(wav|aif|aiff|m4a|mp3|caf)$') AND octet_length(encode(html)) > 0 AS ok FROM pages")
+@query("""SELECT page_id, regexp_matches(lower(name), '\\.(wav|aif|aiff|m4a|mp3|caf)$') AND octet_length(encode(html)) BETWEEN 1 AND 3000 AND page_id % 4 <> 0 AS ok
+FROM (SELECT *, url || CASE page_id % 3 WHEN 0 THEN '.WAV' WHEN 1 THEN '.mp3' ELSE '.ogg' END AS name FROM pages)""")
 def fil20_file_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", P.valid_file(F.col("url"), F.octet_length("html"), F.sha2("html", 256), F.sha2("html", 256)).alias("ok"))
+    """Suffix, size and digest; every fourth file is not the one whose digest was noted."""
+    n = F.col("page_id")
+    p = table(spark, sf_dir, "pages").withColumn("name", F.concat("url", F.get(F.array(*map(F.lit, (".WAV", ".mp3", ".ogg"))), (n % 3).cast("int"))))
+    noted = F.when(n % 4 == 0, F.sha2(F.concat("html", F.lit("!")), 256)).otherwise(F.sha2("html", 256))
+    return p.select("page_id", P.valid_file(F.col("name"), F.octet_length("html"), F.sha2("html", 256), noted, 3000).alias("ok"))
 
 
 @query(f"WITH {CLIPS} SELECT doc, ord, CASE WHEN disc = 0 THEN 1.0::DOUBLE WHEN disc * 20 - 170 BETWEEN -96 AND 12 THEN pow(10.0, (disc * 20 - 170) / 20.0::DOUBLE) END AS gain FROM clip")
@@ -85,10 +90,43 @@ def src20_generated_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.generated(spark, 64)
 
 
-@query("SELECT item_id, length(text) AS n, 0.0::DOUBLE AS start FROM benchmark")
+@query("""WITH e AS (SELECT item_id, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) AS k FROM benchmark),
+p AS (SELECT *, (sum(length(text) + 1) OVER (PARTITION BY item_id ORDER BY k) - 1)::DOUBLE AS "end" FROM e) SELECT item_id, text, "end" - length(text) AS "start", "end" FROM p WHERE text <> ''""")
 def udf1_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An engine that says how much it was given, as a lateral table function."""
-    spark.udtf.register("_engine", P.engine(lambda samples: [(str(len(samples)), 0.0, float(len(samples)))]))
-    table(spark, sf_dir, "benchmark").createOrReplaceTempView("_engine_items")
-    out = spark.sql("SELECT item_id, e.text, e.start FROM _engine_items, LATERAL _engine(split(text, '')) e")
-    return out.select("item_id", F.col("text").cast("long").alias("n"), "start")
+    """An injected engine that hears a word between any two silent samples, as a lateral table function."""
+
+    def heard(samples: list) -> list:
+        out, begin = [], None
+        for i, x in enumerate([*samples, " "]):
+            if x != " " and begin is None:
+                begin = i
+            elif x == " " and begin is not None:
+                out.append(("".join(samples[begin:i]), float(begin), float(i)))
+                begin = None
+        return out
+
+    engine = P.engine(heard)
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", "").alias("samples"))
+    return items.lateralJoin(engine(F.col("samples").outer())).select("item_id", "text", "start", "end")
+
+
+SAID = """pw AS (SELECT b.doc, b.block, row_number() OVER (PARTITION BY b.doc, b.block ORDER BY b.pos) - 1 AS n, b.pos, text, b.start_ms, b.end_ms FROM blk b)"""
+
+
+@query(f"""WITH {BLOCKS}, {SAID}, z AS (SELECT doc, max(end_ms) AS d FROM pw GROUP BY doc), x AS (SELECT doc, CASE WHEN doc % 11 = 0 THEN 'structure' WHEN doc % 7 = 0 THEN 'times' WHEN doc % 5 = 0 THEN 'alignment' WHEN doc % 3 = 0 THEN 'text' END AS reason, d FROM z)
+SELECT pw.doc, block::INTEGER AS utterance, n::INTEGER AS n, CASE WHEN regexp_matches(lag(text) OVER (PARTITION BY pw.doc, block ORDER BY pos), '[A-Za-z0-9]$') AND regexp_matches(text, '^[A-Za-z0-9]') THEN ' ' ELSE '' END || text AS text, 10 + start_ms / 1000.0::DOUBLE AS "start", 10 + end_ms / 1000.0::DOUBLE AS "end", NULL::VARCHAR AS reason
+FROM pw JOIN x ON x.doc = pw.doc WHERE reason IS NULL UNION ALL SELECT doc, NULL, NULL, NULL, NULL, NULL, reason FROM x WHERE reason IS NOT NULL""")
+def str17_cloud_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results in JSON, some without structure, with a time beyond the end, a changed utterance, or a changed whole."""
+    w = blocks(spark, sf_dir)
+    late = F.when((F.col("doc") % 7 == 0) & (F.col("pos") == 1), 10**9).otherwise(0)
+    word = F.struct("pos", "text", F.col("start_ms").cast("double").alias("start_time"), (F.col("end_ms") + late).cast("double").alias("end_time"))
+    said = w.groupBy("doc", "block").agg(F.array_sort(F.collect_list(word)).alias("p"), F.max("end_ms").alias("stop"))
+    text = F.concat(F.array_join(F.transform("p", lambda x: x["text"]), " "), F.when((F.col("doc") % 5 == 0) & (F.col("block") == 0), " more").otherwise(""))
+    spoken = said.select("doc", "stop", F.struct("block", text.alias("text"), F.transform("p", lambda x: F.struct(x["text"].alias("text"), x["start_time"].alias("start_time"), x["end_time"].alias("end_time"))).alias("words")).alias("u"))
+    docs = spoken.groupBy("doc").agg(F.array_sort(F.collect_list("u")).alias("u"), (F.max("stop") / 1000.0).alias("duration"))
+    whole = F.concat(F.array_join(F.transform("u", lambda x: x["text"]), " "), F.when(F.col("doc") % 3 == 0, " end").otherwise(""))
+    plain = F.transform("u", lambda x: F.struct(x["text"].alias("text"), x["words"].alias("words")))
+    body = F.when(F.col("doc") % 11 == 0, '{"result": {"text": "x"}}').otherwise(F.to_json(F.struct(F.struct(whole.alias("text"), plain.alias("utterances")).alias("result"))))
+    rows = docs.select("doc", body.alias("body"), "duration", F.lit(10.0).alias("offset"))
+    return results(rows, "doc", "body", "duration", "offset")

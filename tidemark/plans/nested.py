@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.derive import CLIPS, clips, table
+from tidemark.shared import folder
 from tidemark.sources import timeline as N
 
 QUERIES, ORACLES = {}, {}
@@ -76,21 +77,35 @@ def fil12_source_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("children"), F.count_if(F.col("child") % 3 == 0).alias("audio"))
 
 
-@query("SELECT page_id, true AS one_root, 3::BIGINT AS nodes, url FROM pages")
-def src1_xml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small project document for each page, read back as nodes in order."""
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
-    xml = F.concat(F.lit('<fcp><project uid="'), F.col("page_id").cast("string"), F.lit('"><gap name="'), F.col("url"), F.lit('"/></project></fcp>'))
+#: Suppliers of a nation as the clips of a project: some at another rate, with a strange attribute, or a hole.
+FILES = """su AS (SELECT s_nationkey AS doc, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS ord, s_name AS name, (s_suppkey % 7 + 1)::BIGINT AS n FROM supplier),
+cl AS (SELECT *, (coalesce(sum(n) OVER (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN doc % 5 = 2 AND ord = 1 THEN 1 ELSE 0 END)::BIGINT AS a FROM su)"""
+
 
-    def run(batches):  # noqa: ANN001, ANN202
-        import pyarrow as pa
+def written_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of project files, one for each nation, written to the shared folder and read again."""
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    su = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("doc"), (F.row_number().over(w) - 1).alias("ord"), "s_suppkey", F.col("s_name").alias("name"), (F.col("s_suppkey") % 7 + 1).cast("long").alias("n"))
+    before = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    cl = su.withColumn("a", F.coalesce(F.sum("n").over(before), F.lit(0)) + F.when((F.col("doc") % 5 == 2) & (F.col("ord") == 1), 1).otherwise(0))
+    strange = F.when((F.col("doc") % 7 == 3) & (F.col("ord") == 0), ' speed="2"').otherwise("")
+    time = lambda c: F.concat(c.cast("string"), F.lit("/25s"))
+    item = F.concat(F.lit('<clip name="'), "name", F.lit('" offset="'), time(F.col("a")), F.lit('" duration="'), time(F.col("n")), F.lit('"'), strange, F.lit("/>"))
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("x")))), lambda r: r["x"]), "")
+    docs = cl.groupBy("doc").agg(items.alias("items"), F.sum("n").alias("total"))
+    head = F.concat(F.lit('<fcpxml><resources><format id="r1" frameDuration="'), F.when(F.col("doc") % 4 == 1, "1/24s").otherwise("100/2500s"), F.lit('"/></resources><project uid="p'), F.col("doc").cast("string"), F.lit('"><sequence format="r1" duration="'), time(F.col("total")), F.lit('"><spine>'))
+    where = folder(spark, "projects")
+    docs.select("doc", F.concat(head, "items", F.lit("</spine></sequence></project></fcpxml>")).alias("value")).repartition("doc").write.partitionBy("doc").text(where)
+    nodes = N.read_nodes(spark, where)
+    return nodes.withColumn("doc", F.regexp_extract("doc", r"doc=([0-9]+)/", 1).cast("int"))
 
-        for b in batches:
-            rows = [r for d, x in zip(b.column("page_id").to_pylist(), b.column("xml").to_pylist(), strict=True) for r in N.nodes_of(str(d), x.replace("&", "&amp;").encode())]
-            yield pa.RecordBatch.from_arrays([pa.array([int(r[0]) for r in rows]), pa.array([r[2] is None for r in rows]), pa.array([(r[5] or {}).get("name") for r in rows], pa.string())], ["page_id", "root", "url"])
 
-    nodes = p.select("page_id", xml.alias("xml")).mapInArrow(run, "page_id long, root boolean, url string")
-    return nodes.groupBy("page_id").agg((F.count_if("root") == 1).alias("one_root"), F.count(F.lit(1)).alias("nodes"), F.max("url").alias("url"))
+@query(f"WITH {FILES} SELECT doc, count(*) + 6 AS nodes, count(*) AS clips, 0::BIGINT AS refused, string_agg(name, ',' ORDER BY ord) AS names FROM cl GROUP BY doc")
+def src1_xml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of real files, in document order."""
+    nodes = written_projects(spark, sf_dir)
+    named = F.array_sort(F.collect_list(F.when(F.col("tag") == "clip", F.struct("ord", F.col("attrs")["name"].alias("x")))))
+    return nodes.groupBy("doc").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("tag") == "clip").alias("clips"), F.count_if(~F.col("ok")).alias("refused"), F.array_join(F.transform(named, lambda r: r["x"]), ",").alias("names"))
 
 
 @query(f"WITH {CLIPS}, u AS (SELECT effect, count(*) AS uses FROM clip GROUP BY effect) SELECT s_suppkey, coalesce(uses, 0)::BIGINT AS uses, s_nationkey FROM supplier LEFT JOIN u ON effect = s_suppkey")
@@ -100,12 +115,17 @@ def agg14_shared_resource_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").join(u, "s_suppkey", "left").select("s_suppkey", F.coalesce("uses", F.lit(0)).cast("long").alias("uses"), "s_nationkey")
 
 
-@query(f"WITH {CLIPS} SELECT doc, sum(len)::BIGINT AS total, min(ord) AS first, sum(len) <= 14400 AS allowed FROM clip GROUP BY doc")
+@query(f"WITH {FILES}, t AS (SELECT doc, sum(n)::BIGINT AS n FROM cl GROUP BY doc) SELECT doc, 'p' || doc AS uid, CASE WHEN n % 25 = 0 THEN (n // 25)::VARCHAR ELSE (n // gcd(n, 25)) || '/' || (25 // gcd(n, 25)) END AS duration, CASE WHEN doc % 4 = 1 THEN '1/24' ELSE '1/25' END AS frame, n <= 360000 AS allowed FROM t")
 def src3_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clips(spark, sf_dir).groupBy("doc").agg(F.sum("len").alias("total"), F.min("ord").alias("first"), (F.sum("len") <= 14400).alias("allowed"))
+    return N.header(written_projects(spark, sf_dir))
+
+
+@query(f"""WITH {FILES}, t AS (SELECT doc, count(*) AS clips, sum(n)::BIGINT AS frames FROM cl GROUP BY doc)
+SELECT doc, clips, frames, CASE WHEN doc % 4 = 1 THEN 'frame' WHEN clips > 64 THEN 'clips' WHEN doc % 7 = 3 THEN 'attributes' WHEN doc % 5 = 2 AND clips > 1 THEN 'tiles' WHEN frames > 750 THEN 'length' END AS reason FROM t""")
+def src4_strict_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.strict(written_projects(spark, sf_dir))
 
 
-@query(f"WITH {CLIPS} SELECT doc, count(*) <= 5 AND sum(len) <= 150 AND bool_and(disc <= 9) AS accepted FROM clip GROUP BY doc")
-def src4_src5_strict_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count(F.lit(1))
-    return clips(spark, sf_dir).groupBy("doc").agg(((n <= 5) & (F.sum("len") <= 150) & F.every(F.col("disc") <= 9)).alias("accepted"))
+@query(f"WITH {FILES} SELECT doc, ord::INTEGER AS ord, a AS start_frame, a + n AS end_frame, name FROM cl")
+def src5_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.read_back(written_projects(spark, sf_dir))

@@ -30,10 +30,13 @@ def src11_src13_stm1_directory_poll(spark: SparkSession, sf_dir: str) -> DataFra
     return J.run_to_files(event_stream(spark, sf_dir).select("event_id", "user_id", "event_type"), J.folder(spark, "poll"))
 
 
-@query("SELECT event_id, (props->>'page')::VARCHAR AS page FROM events WHERE json_valid(props)")
+@query("SELECT event_id, (line->>'page')::VARCHAR AS page FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN left(props, length(props) - 1) WHEN event_id % 7 = 0 THEN 'started ' || props ELSE props END AS line FROM events) WHERE json_valid(line)")
 def src12_stm9_log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = event_stream(spark, sf_dir).select("event_id", "props")
-    return J.run_to_files(J.log_tail(lines, "props", "page string"), J.folder(spark, "tail"))
+    """Whole JSON lines among cut and foreign ones."""
+    n = F.col("event_id")
+    line = F.when(n % 5 == 0, F.expr("left(props, char_length(props) - 1)")).when(n % 7 == 0, F.concat(F.lit("started "), "props")).otherwise(F.col("props"))
+    lines = event_stream(spark, sf_dir).select("event_id", line.alias("line"))
+    return J.run_to_files(J.log_tail(lines, "line", "page string"), J.folder(spark, "tail"))
 
 
 @query(f"""WITH RECURSIVE {INTERVALS}, n AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY b, id) AS k FROM iv),

@@ -39,9 +39,9 @@ def agg4_union_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {INTERVALS}, g AS (SELECT *, CASE WHEN b < max(e) OVER (PARTITION BY u ORDER BY b, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM iv),
-h AS (SELECT *, sum(new) OVER (PARTITION BY u ORDER BY b, e, id)::BIGINT AS island FROM g) SELECT u, island, min(b) AS b, max(e) AS e, count(*) AS n FROM h GROUP BY u, island""")
+h AS (SELECT *, sum(new) OVER (PARTITION BY u ORDER BY b, e, id)::BIGINT AS island FROM g) SELECT u, island, min(b) AS b, max(e) AS e, count(*) AS n, string_agg(event_type, '' ORDER BY b, e, id) AS text FROM h GROUP BY u, island""")
 def win5_merge_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.merged(intervals(spark, sf_dir), ["u"])
+    return I.merged(intervals(spark, sf_dir).withColumnRenamed("event_type", "text"), ["u"])
 
 
 @query(f"WITH {INTERVALS} SELECT u, id FROM (SELECT *, lag(e) OVER (PARTITION BY u ORDER BY b, id) AS p FROM iv) WHERE b < p")

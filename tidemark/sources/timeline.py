@@ -9,9 +9,10 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import rational as R
 from tidemark.shared import stored
 
 #: Levels of nesting that a document may have.
@@ -138,3 +139,49 @@ def expanded(uses: DataFrame, depth: int = DEEPEST) -> DataFrame:
         every = every.unionByName(level)
     source = (F.col("b") - F.col("origin") + F.col("clock") * F.col("start")).alias("source")
     return every.where("leaf OR reason IS NOT NULL").select("doc", "ref", "b", "e", source, "clock", "depth", "reason", "enabled", "gain", "role", "frame")
+
+
+#: Rules of the strict reader: frames a second, clips, frames, and the attributes that it knows.
+STRICT_FPS, MOST_CLIPS, MOST_FRAMES, MOST_SECONDS = 25, 64, 750, 4 * 3600
+CLIP_ATTRIBUTES = ("offset", "duration", "name", "start", "ref")
+
+
+def frames_of(time: Column, fps: int = STRICT_FPS) -> Column:
+    """A wire time as a whole number of frames; NULL off the grid."""
+    t = R.parse(time)
+    return F.when((t["num"] * fps) % t["den"] == 0, R.floor_div((t["num"] * fps).cast("long"), t["den"].cast("long")))
+
+
+def header(nodes: DataFrame) -> DataFrame:
+    """SRC3: doc, uid, duration (a reduced fraction), frame, allowed (four hours at the most) of each document that was read."""
+    sequence = nodes.where("tag = 'sequence'").select("doc", F.col("parent").alias("id"), F.col("attrs")["duration"].alias("duration"), F.col("attrs")["format"].alias("format"))
+    project = nodes.where("tag = 'project'").select("doc", "id", F.col("attrs")["uid"].alias("uid"))
+    formats = nodes.where("tag = 'format'").select("doc", F.col("attrs")["id"].alias("format"), F.col("attrs")["frameDuration"].alias("frame"))
+    t = R.parse(F.col("duration"))
+    return project.join(sequence, ["doc", "id"]).join(formats, ["doc", "format"], "left").select("doc", "uid", R.show(t).alias("duration"), R.show(R.parse(F.col("frame"))).alias("frame"), (t["num"] <= t["den"] * MOST_SECONDS).alias("allowed"))
+
+
+def strict(nodes: DataFrame) -> DataFrame:
+    """SRC4: doc, reason (NULL: accepted), clips, frames. The first rule that is broken: frame, clips, attributes, grid, tiles, length."""
+    spine = nodes.where("tag = 'spine'").select("doc", F.col("id").alias("parent"))
+    clip = nodes.join(spine, ["doc", "parent"]).select("doc", "ord", frames_of(F.col("attrs")["offset"]).alias("a"), frames_of(F.col("attrs")["duration"]).alias("n"), (F.size(F.array_except(F.map_keys("attrs"), F.array(*map(F.lit, CLIP_ATTRIBUTES)))) > 0).alias("strange"))
+    so_far = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    laid = clip.withColumn("broken", F.col("a") != F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+    rules = laid.groupBy("doc").agg(F.count(F.lit(1)).alias("clips"), F.sum("n").alias("frames"), F.max("strange").alias("strange"), F.max(F.col("a").isNull() | F.col("n").isNull()).alias("off"), F.max("broken").alias("broken"))
+    frame = header(nodes).select("doc", "frame")
+    reason = (
+        F.when(F.coalesce(F.col("frame") != f"1/{STRICT_FPS}", F.lit(True)), "frame")
+        .when(F.col("clips") > MOST_CLIPS, "clips")
+        .when(F.col("strange"), "attributes")
+        .when(F.col("off"), "grid")
+        .when(F.col("broken"), "tiles")
+        .when(F.col("frames") > MOST_FRAMES, "length")
+    )
+    return rules.join(frame, "doc", "left").select("doc", reason.alias("reason"), "clips", "frames")
+
+
+def read_back(nodes: DataFrame) -> DataFrame:
+    """SRC5: doc, clips, and the titles of documents as they would be shown: start and end frame, name, in order."""
+    spine = nodes.where("tag = 'spine'").select("doc", F.col("id").alias("parent"))
+    rows = nodes.join(spine, ["doc", "parent"]).withColumn("a", frames_of(F.col("attrs")["offset"])).withColumn("n", frames_of(F.col("attrs")["duration"]))
+    return rows.where("tag IN ('title', 'clip')").select("doc", "ord", F.col("a").alias("start_frame"), (F.col("a") + F.col("n")).alias("end_frame"), F.col("attrs")["name"].alias("name"))

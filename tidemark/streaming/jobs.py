@@ -52,7 +52,8 @@ def ordered_runs(stream: DataFrame, key: str) -> DataFrame:
 
 def log_tail(lines: DataFrame, column: str, schema: str) -> DataFrame:
     """SRC12: JSON lines parsed, lines that are none ignored."""
-    return lines.withColumn("_j", F.from_json(column, schema)).where(F.col("_j").isNotNull()).select(*[c for c in lines.columns if c != column], "_j.*")
+    parsed = F.from_json(column, f"{schema}, _none string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_none"})
+    return lines.withColumn("_j", parsed).where(F.col("_j").isNotNull() & F.col("_j._none").isNull()).withColumn("_j", F.col("_j").dropFields("_none")).select(*[c for c in lines.columns if c != column], "_j.*")
 
 
 def once(stream: DataFrame, where: str, key: str, work: Callable[[DataFrame], DataFrame]) -> None:
