@@ -46,6 +46,22 @@ def test_chunks_do_not_matter():
         assert token_counts.starts_of(classes, COUNTER.nxt, COUNTER.emit, chunk).tolist() == want
 
 
+@pytest.mark.parametrize("span", [1, 2, 5, 64])
+def test_maps_of_chunks_compose(span):
+    rng = random.Random(span)
+    texts = ODD + ["".join(rng.choice("abst'rvel \n\t.1é!") for _ in range(rng.randint(0, 300))) for _ in range(200)] + ["日本" * 200, "x" * 999 + " y"]
+    assert COUNTER.token_counts(texts, span).tolist() == library(texts)
+
+
+def test_composition_is_associative():
+    rng = random.Random(7)
+    m = COUNTER.merger
+    for _ in range(100):
+        made = lambda: (lambda exit_: token_counts.Span("".join(rng.choice("abcde") for _ in range(rng.randrange(6))), rng.randrange(5) if exit_ else 0, exit_))(rng.choice([None, m.keys[rng.randrange(len(m.keys))]]))
+        a, b, c = made(), made(), made()
+        assert m.composed(m.composed(a, b), c) == m.composed(a, m.composed(b, c))
+
+
 def test_token_query(spark, sf_dir):
     texts = dict(zip(*[c.to_pylist() for c in pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"]).columns], strict=True))
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.op2_token_counts(spark, sf_dir).collect()}

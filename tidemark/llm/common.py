@@ -71,7 +71,7 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     paths = getattr(_scratch, "outer" if keep else "paths", None)
     if paths is not None:
         paths.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 

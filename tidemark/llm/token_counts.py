@@ -9,11 +9,15 @@ Two deterministic transducers run one after the other:
   adds to (or takes from) the count so far; states are compiled when first reached and kept. A state
   knows the longest suffix that can still begin a longer token, with the last token and relative count
   at each place in it. A byte sequence's last token is the only vocabulary suffix that stays apart from
-  the last token before it, which a merge of the two decides once for each pair.
+  the last token before it, which a merge of the two decides once for each pair. A text is cut into chunks
+  of SPAN characters. What a chunk does to the merger is a map from its entry state to its exit state and the tokens
+  it adds; from the first pre-token that starts in it on, that is the same for all entries, so the map is
+  kept as the head before it, a number and an exit. Maps compose, and a text's count is its composed map's number. (A pre-token
+  that was run before from the start is looked up; that is a memory of runs, not another way to count.)
 
 Defined results: NULL counts as the empty text, with 0 tokens; the strings of added special tokens are
 one token each, as the library has it by default; no begin or end tokens, truncation or padding.
-Repeated rows and extra columns pass; other columns are not touched.
+Repeated rows and extra columns pass; other columns are not touched; a very long text is many chunks.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import gathered, read
 
 LIMIT = 512
-CHUNK = 256
+#: Characters of a chunk of the splitter, and of the merger.
+CHUNK, SPAN = 256, 4096
 #: Compiled states and cached pre-tokens of a worker; beyond that they are dropped and compiled anew.
 MOST_STATES, MOST_WORDS = 400_000, 1_500_000
 
@@ -159,6 +165,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Span(NamedTuple):
+    """What a chunk does to the merger: `head` is read from the entry state; then `added` tokens come and the state is `exit`.
+    exit None: no pre-token starts in the chunk, so its state follows from the entry and the head."""
+
+    head: str
+    added: int
+    exit: tuple | None
+
+
 class Merger:
     """The lazily compiled transducer over bytes of a pre-token."""
 
@@ -266,12 +281,29 @@ class Merger:
     def count(self, word: str) -> int:
         if len(self.keys) > MOST_STATES or len(self.words) > MOST_WORDS:
             self.reset()
-        at, total, steps = self.start, 0, self.steps
+        return self.run(self.start, word)[1]
+
+    def composed(self, a: Span, b: Span) -> Span:
+        """a, then b. States go by their keys, which outlast a reset."""
+        if a.exit is None:
+            return Span(a.head + b.head, b.added, b.exit)
+        at, n = self.run(self.state(a.exit), b.head)
+        return Span(a.head, a.added + n + b.added, self.keys[at] if b.exit is None else b.exit)
+
+    def whole_text(self, spans: list[Span]) -> int:
+        """Tokens of a text from its chunks' maps, composed pair by pair."""
+        while len(spans) > 1:
+            spans = [self.composed(*spans[i : i + 2]) if i + 1 < len(spans) else spans[i] for i in range(0, len(spans), 2)]
+        return spans[0].added
+
+    def run(self, at: int, word: str) -> tuple[int, int]:
+        """State and tokens added after a word's bytes."""
+        total, steps = 0, self.steps
         for byte in word.encode("utf-8", "surrogatepass"):
             step = steps[at].get(byte)
             at, added = step if step is not None else self.compile(at, byte)
             total += added
-        return total
+        return at, total
 
     def counts(self, words: list[str]) -> list[int]:
         known = self.words
@@ -307,7 +339,7 @@ class Counter:
         self.classes = character_classes()
         self.nxt, self.emit = splitter()
 
-    def token_counts(self, texts: list[str]) -> np.ndarray:
+    def token_counts(self, texts: list[str], span: int = SPAN) -> np.ndarray:
         """Tokens of each text. The texts' pieces form one stream, with a stop after each."""
         n = np.zeros(len(texts), np.int64)
         pieces, owner = [], []
@@ -325,10 +357,32 @@ class Counter:
         ends = np.append(starts[1:], len(points))
         real = classes[starts] != STOP
         starts, ends = starts[real], ends[real]
-        words = [stream[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        counts = np.array(self.merger.counts(words), np.int64)
-        of = np.asarray(owner, np.int64)[np.searchsorted(stops, starts)]
-        return n + np.bincount(of, counts, len(texts)).astype(np.int64)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begins = stops - sizes
+        chunks = np.maximum(1, -(-sizes // span))
+        base = np.cumsum(chunks) - chunks
+        piece = np.searchsorted(stops, starts)
+        first, last = base[piece] + (starts - begins[piece]) // span, base[piece] + (ends - 1 - begins[piece]) // span
+        inside = first == last
+        words = [stream[a:b] for a, b in zip(starts[inside].tolist(), ends[inside].tolist(), strict=True)]
+        total = int(chunks.sum())
+        added = np.bincount(first[inside], np.array(self.merger.counts(words), np.int64), total).astype(np.int64)
+        out = np.bincount(np.asarray(owner, np.int64), np.add.reduceat(added, base), len(texts)).astype(np.int64)
+        many = np.flatnonzero(chunks > 1)
+        if len(many):
+            fresh = self.merger.keys[self.merger.start]
+            begun = np.bincount(first, minlength=total) > 0
+            maps = [Span("", int(a), fresh if b else None) for a, b in zip(added.tolist(), begun.tolist(), strict=True)] if len(many) else []
+            for a, b, p, i, j in zip(starts[~inside].tolist(), ends[~inside].tolist(), piece[~inside].tolist(), first[~inside].tolist(), last[~inside].tolist(), strict=True):
+                borders = [a, *[int(begins[p]) + int(k - base[p]) * span for k in range(i + 1, j + 1)], b]
+                at, tokens = self.merger.run(self.merger.start, stream[a : borders[1]])
+                maps[i] = Span(maps[i].head, maps[i].added + tokens, self.merger.keys[at])
+                for k in range(i + 1, j + 1):
+                    maps[k] = maps[k]._replace(head=stream[borders[k - i] : borders[k - i + 1]])
+            for p in many.tolist():
+                here = maps[base[p] : base[p] + chunks[p]]
+                out[owner[p]] += self.merger.whole_text(here) - int(added[base[p] : base[p] + chunks[p]].sum())
+        return n + out
 
 
 _compiled: dict[str, Counter] = {}
