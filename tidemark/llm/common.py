@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A Python worker holds the texts of one slice at a time; a longer single text is a slice of its own.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import gathered, read
 
 WINDOW = 10
-SHARD = 8_000_000
+SHARD = 4_000_000
 SAMPLE = 16
 BLOCK_WINDOWS = 400_000
 
