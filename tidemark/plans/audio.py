@@ -56,12 +56,12 @@ def agg19_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.overwritten(rows, ["doc"]).withColumnRenamed("at", "place")
 
 
-WEIGHTS = "w AS (SELECT * FROM (VALUES (1, 'a', 2.0::DOUBLE), (2, 'a', 2.0), (3, 'b', 0.5), (4, 'b', 0.5), (5, 'b', 0.5)) v(channel, component, gain)), wn AS (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM w)"
+WEIGHTS = "w AS (SELECT * FROM (VALUES (1, 'a', 2.0::DOUBLE), (2, 'a', 2.0), (3, 'b', 0.75), (4, 'b', 0.75), (5, 'b', 0.75)) v(channel, component, gain)), wn AS (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM w)"
 
 
 @query(f"WITH {CLIPS}, {WEIGHTS} SELECT doc, sum((disc - 5) * gain / n) AS x FROM clip JOIN wn ON channel = ord GROUP BY doc")
 def agg10_mat7_channel_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = spark.createDataFrame([(1, "a", 2.0), (2, "a", 2.0), (3, "b", 0.5), (4, "b", 0.5), (5, "b", 0.5)], "channel long, component string, gain double")
+    weights = spark.createDataFrame([(1, "a", 2.0), (2, "a", 2.0), (3, "b", 0.75), (4, "b", 0.75), (5, "b", 0.75)], "channel long, component string, gain double")
     return G.channel_mean(clips(spark, sf_dir).select("doc", F.col("ord").alias("channel"), (F.col("disc") - 5).alias("x")), weights, ["doc"])
 
 
