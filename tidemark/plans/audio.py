@@ -45,8 +45,7 @@ def agg9_overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = lambda n, x: F.transform(F.sequence(F.lit(1).cast("long"), n), lambda _: x)
     one = c.select("doc", F.col("off").alias("at"), same(F.col("len"), F.col("disc") - 5).alias("xs"), F.col("tax").alias("gain"))
     two = c.select("doc", (F.col("off") + 1).alias("at"), same(F.col("len") + 1, 5 - F.col("disc")).alias("xs"), F.lit(1).cast("long").alias("gain"))
-    mixed = G.mixed(one.unionByName(two), ["doc"], 64)
-    return mixed.select("doc", F.posexplode("xs").alias("p", "x"), "at").where("x IS NOT NULL").select("doc", (F.col("at") + F.col("p")).alias("place"), "x")
+    return G.mixed(one.unionByName(two), ["doc"], 1024).withColumnRenamed("at", "place")
 
 
 @query(f"WITH {CLIPS}, s AS (SELECT doc, ord, unnest(range(off, off + len + 3)) AS a1, disc - 5 AS x, tax AS gain FROM clip) SELECT doc, a1 AS place, arg_max(x * gain, ord) AS x FROM s WHERE gain <> 0 GROUP BY ALL")
