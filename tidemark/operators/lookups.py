@@ -92,6 +92,14 @@ def ranked(rows: DataFrame, order: Sequence[str], name: str = "rank") -> DataFra
     return dealt.withColumn("_k", within).join(F.broadcast(offsets), "_range").select(*rows.columns, (F.col("_k") + F.col("_offset")).cast("long").alias(name))
 
 
+def paired(files: DataFrame, key: str, path: str = "path") -> DataFrame:
+    """SRC19: key, xml, audio of the exports that hold exactly one project and one sound file, by their suffixes."""
+    kind = lambda suffixes: F.when(F.rlike(F.lower(path), F.lit(rf"\.({suffixes})$")), F.col(path))
+    xml, audio = kind("fcpxml|xml"), kind("wav|aif|aiff|m4a|mp3|caf")
+    found = files.groupBy(key).agg(F.max(xml).alias("xml"), F.max(audio).alias("audio"), F.count(xml).alias("_x"), F.count(audio).alias("_a"))
+    return found.where("_x = 1 AND _a = 1").select(key, "xml", "audio")
+
+
 def ordered_distinct(rows: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
     """AGG8: distinct values of a key in order of first occurrence, as an array."""
     first = rows.groupBy(*keys, value).agg(F.min(order).alias("_o"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import gains as A
 from tidemark.functions import rational as R
 from tidemark.operators import lookups as L
 from tidemark.plans.derive import CLIPS, INTERVALS, WORDS, clips, intervals, table, words
@@ -249,12 +250,25 @@ def arr3_channel_role_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"])), ",").alias("roles"))
 
 
-@query(f"WITH {CLIPS} SELECT doc, ord, len || '/' || (disc + 1) || 's' AS wire FROM clip")
+def shown(num: str, den: str) -> str:
+    """A reduced fraction as text, in SQL."""
+    return f"CASE WHEN {num} % {den} = 0 THEN ({num} // {den})::VARCHAR ELSE ({num} // gcd({num}, {den})) || '/' || ({den} // gcd({num}, {den})) END"
+
+
+@query(f"""WITH {CLIPS} SELECT doc, ord, CASE WHEN tax <> 4 THEN {shown('len', '(disc + 1)')} END AS length, CASE WHEN tax <> 4 THEN {shown('off', '6')} END AS shift, CASE WHEN tax <> 4 THEN disc % 3 END AS keys,
+CASE WHEN tax <> 4 AND disc % 3 > 0 THEN {shown('(disc % 3 * len)', '8')} END AS last, CASE WHEN tax <> 4 AND disc % 3 > 0 THEN (disc % 3 - 9)::DOUBLE END AS db FROM clip""")
 def jsn1_envelope_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rationals travel as text through JSON and come back as they were."""
-    wire = F.concat(F.col("len").cast("string"), F.lit("/"), (F.col("disc") + 1).cast("string"), F.lit("s"))
-    packed = clips(spark, sf_dir).select("doc", "ord", F.to_json(F.struct(wire.alias("length"), (F.col("disc") / 10.0).alias("base_db"))).alias("j"))
-    return packed.select("doc", "ord", F.from_json("j", "length string, base_db double")["length"].alias("wire"))
+    """Envelopes through JSON and back, their rationals exact; one with a field that nobody knows is refused."""
+    c = clips(spark, sf_dir)
+    n = (F.col("disc") % 3).cast("int")
+    key = lambda i: F.struct(R.rational(i * F.col("len"), F.lit(8)).alias("time"), (i - 9).alias("db"))
+    keys = F.transform(F.filter(F.sequence(F.lit(1).cast("long"), F.lit(2).cast("long")), lambda i: i <= n), key)
+    body = A.packed(R.rational(F.lit(1).cast("long"), F.lit(2)), R.rational(F.col("off"), F.lit(6)), R.rational(F.col("len"), F.col("disc") + 1), F.col("disc") / 10.0, keys)
+    body = F.when(F.col("tax") == 4, F.replace(body, F.lit('"base_db"'), F.lit('"colour"'))).otherwise(body)
+    e = c.select("doc", "ord", A.unpacked(body).alias("e"))
+    last = F.try_element_at("e.keys", F.lit(-1))
+    text = lambda c: F.when(c.isNotNull(), R.show(c))
+    return e.select("doc", "ord", text(F.col("e.length")).alias("length"), text(F.col("e.shift")).alias("shift"), F.when(F.col("e").isNotNull(), F.size("e.keys")).cast("long").alias("keys"), text(last["time"]).alias("last"), last["db"].alias("db"))
 
 
 @query(f"WITH {CLIPS} SELECT doc, count(*) AS segments, sum(len)::BIGINT AS total, sha256(string_agg(asset::VARCHAR, ',' ORDER BY ord)) AS sha FROM clip GROUP BY doc")
@@ -282,8 +296,13 @@ def tim8_heartbeat_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(at - before < 10_000_000, F.lit(False)).alias("fresh"))
 
 
-@query("SELECT c_custkey % 50 AS share, count(*) FILTER (c_mktsegment = 'BUILDING') = 1 AND count(*) FILTER (c_mktsegment = 'MACHINERY') = 1 AS paired FROM customer GROUP BY 1")
+SHARES = "f AS (SELECT c_custkey // 3 AS share, c_name || ['.fcpxml', '.wav', '.txt', '.M4A'][1 + c_nationkey % 4] AS path FROM customer)"
+
+
+@query(f"""WITH {SHARES}, k AS (SELECT *, CASE WHEN regexp_matches(lower(path), '\\.(fcpxml|xml)$') THEN 'xml' WHEN regexp_matches(lower(path), '\\.(wav|aif|aiff|m4a|mp3|caf)$') THEN 'audio' END AS kind FROM f)
+SELECT share, max(path) FILTER (kind = 'xml') AS xml, max(path) FILTER (kind = 'audio') AS audio FROM k GROUP BY share HAVING count(*) FILTER (kind = 'xml') = 1 AND count(*) FILTER (kind = 'audio') = 1""")
 def src19_paired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").withColumn("share", F.col("c_custkey") % 50)
-    one = lambda s: F.count_if(F.col("c_mktsegment") == s) == 1
-    return c.groupBy("share").agg((one("BUILDING") & one("MACHINERY")).alias("paired"))
+    """Shares of three files each: those with one project and one sound are taken, other files are not minded."""
+    c = table(spark, sf_dir, "customer")
+    suffix = F.get(F.array(*map(F.lit, (".fcpxml", ".wav", ".txt", ".M4A"))), (F.col("c_nationkey") % 4).cast("int"))
+    return L.paired(c.select(F.floor(F.col("c_custkey") / 3).cast("long").alias("share"), F.concat("c_name", suffix).alias("path")), "share")

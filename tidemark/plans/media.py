@@ -85,7 +85,8 @@ def src2_without_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.without_titles(nodes).select("doc", "id", "tag")
 
 
-@query("SELECT range AS ord, (range * 2) || 's' AS \"offset\", '2s' AS duration, 'r' || (range + 1) AS ref FROM range(64)")
+@query("""SELECT k AS clips, '<fcpxml><project uid="p' || k || '"><sequence duration="' || (k * 2) || 's"><spine>' || (SELECT string_agg('<clip offset="' || (i * 2) || 's" duration="2s" ref="r' || (i + 1) || '"/>', '' ORDER BY i) FROM range(64) r(i) WHERE i < k)
+|| '</spine></sequence></project></fcpxml>' AS xml FROM range(1, 65) t(k)""")
 def src20_generated_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.generated(spark, 64)
 

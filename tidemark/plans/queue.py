@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,10 +50,30 @@ def stm2_stm3_stm4_ordered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.run_to_files(J.ordered_runs(s, "u"), J.folder(spark, "runs"))
 
 
-@query("SELECT event_id, 'done' AS status FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 'failed' ELSE 'done' END AS status FROM events")
 def stm5_stm6_snk8_at_most_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files come one by one; work on the second stops after it was claimed. Taken up again, its jobs are failed, not worked on twice."""
     where = J.folder(spark, "once")
-    J.once(event_stream(spark, sf_dir).select("event_id", "value"), where, "event_id", lambda df: df)
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    worked: list[int] = []
+    for k in range(3):
+        events.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{where}/in")
+
+    def work(df: DataFrame) -> DataFrame:
+        k = df.select(F.max(F.col("event_id") % 3)).first()[0]
+        worked.append(k)
+        if k == 1:
+            raise RuntimeError("stopped")
+        return df
+
+    for _ in range(2):
+        try:
+            J.once(J.polled(spark, f"{where}/in", events.schema), where, "event_id", work)
+        except StreamingQueryException:
+            if worked[-1] != 1:
+                raise
+    if worked.count(1) != 1:
+        raise RuntimeError(f"a claimed batch was worked on again: {worked}")
     return spark.read.parquet(f"{where}/answers").select("event_id", "status")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.shared import folder, shared_dir  # noqa: F401
+from tidemark.shared import folder, stored  # noqa: F401
 
 
 def polled(spark: SparkSession, path: str, schema, per_batch: int = 1) -> DataFrame:  # noqa: ANN001
@@ -73,18 +73,17 @@ def once(stream: DataFrame, where: str, key: str, work: Callable[[DataFrame], Da
     def batch(df: DataFrame, n: int) -> None:
         keys = df.select(key).distinct()
         claims = have(f"{where}/claims", keys)
-        fresh = df.dropDuplicates([key]).join(claims, key, "left_anti").persist()
-        stale = keys.join(claims, key, "left_semi").persist()
+        # Written, not cached: a cache that reads the claims would be made anew when the claims are written.
+        fresh = stored(df.dropDuplicates([key]).join(claims, key, "left_anti"), "fresh")
+        stale = stored(keys.join(claims, key, "left_semi"), "stale")
         answers = f"{where}/answers/batch={n}"
-        if fresh.limit(1).count():
+        if fresh.take(1):
             fresh.select(key).write.mode("append").parquet(f"{where}/claims")
             work(fresh).withColumn("status", F.lit("done")).select(key, "status").write.mode("overwrite").parquet(answers)
-        elif stale.limit(1).count():
+        elif stale.take(1):
             answered = have(f"{where}/answers", stale.withColumn("status", F.lit("")))
             lost = stale.join(answered.select(key), key, "left_anti")
             lost.withColumn("status", F.lit("failed")).write.mode("append").parquet(answers)
-        fresh.unpersist()
-        stale.unpersist()
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start().awaitTermination()
 
