@@ -265,9 +265,11 @@ def jsn1_envelope_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = F.transform(F.filter(F.sequence(F.lit(1).cast("long"), F.lit(2).cast("long")), lambda i: i <= n), key)
     body = A.packed(R.rational(F.lit(1).cast("long"), F.lit(2)), R.rational(F.col("off"), F.lit(6)), R.rational(F.col("len"), F.col("disc") + 1), F.col("disc") / 10.0, keys)
     body = F.when(F.col("tax") == 4, F.replace(body, F.lit('"base_db"'), F.lit('"colour"'))).otherwise(body)
-    e = c.select("doc", "ord", A.unpacked(body).alias("e"))
+    # Generators keep what they make from being written out again in every use.
+    told = c.select("doc", "ord", F.explode(F.array(body)).alias("body"))
+    e = told.select("doc", "ord", F.explode(F.array(A.unpacked(F.col("body")))).alias("e"))
     last = F.try_element_at("e.keys", F.lit(-1))
-    text = lambda c: F.when(c.isNotNull(), R.show(c))
+    text = lambda c: A.once(c, lambda r: F.when(r.isNotNull(), R.show(r)))
     return e.select("doc", "ord", text(F.col("e.length")).alias("length"), text(F.col("e.shift")).alias("shift"), F.when(F.col("e").isNotNull(), F.size("e.keys")).cast("long").alias("keys"), text(last["time"]).alias("last"), last["db"].alias("db"))
 
 
