@@ -13,8 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A Python worker holds the texts of one slice at a time; a longer single text is a slice of its own.
-SLICE_CHARS = 2_000_000
+#: A Python worker holds one slice at a time: so many bytes of texts, rows, and bytes of all columns at the most. A longer single row is a slice of its own.
+SLICE_CHARS, SLICE_ROWS, SLICE_BYTES = 2_000_000, 8_192, 32_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,33 +82,43 @@ def drop_stored(df: DataFrame) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the texts of each have about `most` bytes at the most, or one row."""
+    """Cut Arrow batches so that each has one row, or at most about `most` bytes of texts, SLICE_ROWS rows and SLICE_BYTES bytes in all."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):
-            if held and held + n > most:
-                yield batch.slice(start, i - start)
+            if i > start and (held + n > most or i - start >= SLICE_ROWS):
+                yield from narrowed(batch.slice(start, i - start))
                 start, held = i, 0
             held += int(n)
-        yield batch.slice(start)
+        yield from narrowed(batch.slice(start))
+
+
+def narrowed(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Halves of a batch, and halves of those, until each has SLICE_BYTES bytes in all columns or one row."""
+    if part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+        half = part.num_rows // 2
+        yield from narrowed(part.slice(0, half))
+        yield from narrowed(part.slice(half))
+    else:
+        yield part
 
 
 def gathered(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """As slices(), but small batches are put together too, so that vector code gets long arrays."""
+    """As slices(), but small batches are put together too, so that vector code gets long arrays. Every row comes once."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = rows = whole = 0
     for part in slices(batches, text, most):
         n = pc.sum(pc.binary_length(part.column(text))).as_py() or 0
-        if held and size + n > most:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
+        if held and (size + n > most or rows + part.num_rows > SLICE_ROWS or whole + part.nbytes > SLICE_BYTES):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size, rows, whole = [], 0, 0, 0
         held.append(part)
-        size += n
+        size, rows, whole = size + n, rows + part.num_rows, whole + part.nbytes
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def crc_mod(column: str | Column, m: int) -> Column:

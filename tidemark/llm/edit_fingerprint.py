@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, slices, stored
+from .common import SLICE_ROWS, read, slices, stored
 
 WALKS, SAMPLES, PERIOD, CLASSES = 2, 128, 4096, 256
 SLICE = 6_000_000
@@ -236,7 +236,7 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 keys.append(k)
                 texts.append(t or "")
                 size += len(texts[-1])
-                if size > SLICE and len(keys) > 1:
+                if len(keys) > 1 and (size > SLICE or len(keys) > SLICE_ROWS):
                     yield packed(made(keys, texts), arrow_key)
                     keys, texts, size = keys[-1:], texts[-1:], len(texts[-1])
         if begun:

@@ -63,7 +63,8 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str = "
     if not total:
         return Classifier(domains, [1 / len(domains)] * len(domains), [[0.0] * len(domains)] * len(MARKS), None)
     some = known.where(keyed_uniform(F.col("_k"), F.lit("mix")) < min(1.1, SAMPLE / total))
-    sample = docs.select(key, text).join(F.broadcast(some), F.col(key) == F.col("_k"))
+    # Of rows that repeat a key, the least text counts: the sample is bounded in rows.
+    sample = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(some), "_k").groupBy("_k", "_d").agg(F.min("_t").alias(text)).withColumnRenamed("_k", key)
     tokens = words(sample, key, text, F.col("_d").alias("d")).where("token = 1")
     each = [F.count_if(F.col("d") == x).cast("double").alias(f"c{i}") for i, x in enumerate(domains)]
     counts = cut(tokens.groupBy("bucket").agg(*each))

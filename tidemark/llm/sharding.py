@@ -48,9 +48,22 @@ def best_shard(h: Column, g: Column, weights: Sequence[float]) -> Column:
     return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(len(weights) - 1)), lambda s: F.struct(rendezvous_cost(h, g, s, F.get(w, s)).alias("cost"), s.alias("shard"))))
 
 
+def free_names(kept: Sequence[str], key: str) -> list[str]:
+    """The kept columns' names; one that a result has gets source_ before it until no other column has it (names differ by more than case)."""
+    taken = {c.lower() for c in (*RESULTS, key, *[c for c in kept if c not in RESULTS])}
+    out = []
+    for c in kept:
+        if c in RESULTS:
+            while c.lower() in taken:
+                c = f"source_{c}"
+            taken.add(c.lower())
+        out.append(c)
+    return out
+
+
 def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, key: str = "doc_id", text: str = "text", grown_weight: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
     """key, size, text_crc32, law, shard, slot, grown_shard, then the columns of `keep`; one of those that has a name of the results is
-    returned as source_<name>.
+    returned as source_<name>, with more of source_ before it where another column has that name.
 
     Every row is hashed once and written with its shard; counts and numbers are taken from what was written. Slots are numbered by
     (group, key, CRC, size) within a shard, where a group is a range of a hash of key and CRC: rows that repeat a key are
@@ -80,7 +93,7 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, key: str
         F.col("_shard_at").cast("int").alias("shard"),
         (F.col("_shard_offset") + F.col("_shard_rank") - 1).cast("long").alias("slot"),
         F.col("_shard_grown").cast("int").alias("grown_shard"),
-        *[F.col(f"_shard_kept_{i}").alias(f"source_{c}" if c in RESULTS else c) for i, c in enumerate(kept)],
+        *[F.col(f"_shard_kept_{i}").alias(c) for i, c in enumerate(free_names(kept, key))],
     )
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, gathered, keyed_uniform, read
+from .common import crc_mod, drop_stored, gathered, keyed_uniform, read, stored
 
 MOST_TOXIC, MOST_CLEAN = 4000, 6000
 CALIBRATION = 0.25
@@ -218,12 +218,12 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Model([], bad / max(1, bad + good))
     rate = F.when(F.col("_y") == 1, min(1.1, MOST_TOXIC / bad)).otherwise(min(1.1, MOST_CLEAN / good))
     some = known.where(keyed_uniform(F.col("_k")) < rate)
-    # Bounded by MOST_TOXIC and MOST_CLEAN, whatever the tables hold.
-    docs = docs.select(key, text)
-    sample = docs.join(F.broadcast(some), F.col(key) == F.col("_k")).select(F.col(key), F.col(text), F.col("_y"))
+    # Bounded by MOST_TOXIC and MOST_CLEAN, whatever the tables hold: of rows that repeat a key, the least text counts.
+    sample = stored(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(some), "_k").groupBy("_k", "_y").agg(F.min("_t").alias("_t")).select(F.col("_k").alias(key), F.col("_t").alias(text), "_y"), "labelled")
     apart = keyed_uniform(F.col(key), F.lit("calibrate"))
     lexicon = lexicon_of(sample.where(apart >= CALIBRATION), text, "_y")
-    got = feature_rows(docs.join(F.broadcast(some), F.col(key) == F.col("_k"), "left_semi"), lexicon, key, text).join(F.broadcast(some), F.col("key") == F.col("_k")).select("key", "value", "_y", keyed_uniform(F.col("key"), F.lit("calibrate")).alias("u")).orderBy("key", "value").collect()
+    got = feature_rows(sample, lexicon, key, text).join(F.broadcast(some), F.col("key") == F.col("_k")).select("key", "value", "_y", keyed_uniform(F.col("key"), F.lit("calibrate")).alias("u")).orderBy("key", "value").collect()
+    drop_stored(sample)
     if not got:
         return Model([], bad / (bad + good))
     x, y = np.array([r["value"] for r in got]), np.array([r["_y"] for r in got], np.float64)

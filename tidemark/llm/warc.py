@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import keyed_uniform, read, scratch, shared_dir, slices, stored
 
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES, PIECES = 600, 16_384, 64 * 1024, 4
+#: Records that are read back before a batch of them goes on.
+READ_RECORDS = 4_096
 LEVEL = 3
 LEAST_REVISIT = 0
 #: The skippable frame that holds a dictionary.
@@ -225,18 +227,24 @@ def records_of(archives: DataFrame, key_type: str) -> DataFrame:
         raise ValueError(f"a key of type {key_type} does not travel in a record's header: make it a number or a string")
     to_arrow = kinds[key_type]
 
+    def packed(cols: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (to_arrow, pa.int64(), pa.string(), pa.string(), to_arrow), strict=True)], ["key", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column("archive").to_pylist():
                 cols: list[list] = [[], [], [], [], []]
-                for r in Archive.read(path):
+                for n, r in enumerate(Archive.read(path), 1):
                     f = r["fields"]
                     digest, size = f["WARC-Payload-Digest"].removeprefix("sha1:"), int(f["X-Payload-Length"])
                     if f["WARC-Type"] == "response" and (digest_of(r["payload"]) != digest or len(r["payload"]) != size):
                         raise ValueError(f"damaged record in {path}")
                     for col, v in zip(cols, (json.loads(f["X-Record-Key"]), size, digest, f["WARC-Type"], json.loads(f.get("X-Refers-To-Key", "null"))), strict=True):
                         col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (to_arrow, pa.int64(), pa.string(), pa.string(), to_arrow), strict=True)], ["key", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    if n % READ_RECORDS == 0:
+                        yield packed(cols)
+                        cols = [[], [], [], [], []]
+                yield packed(cols)
 
     return archives.mapInArrow(run, f"key {key_type}, payload_bytes long, payload_digest string, record_type string, refers_to {key_type}")
 
