@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, edit_fingerprint, jaccard_join, language_id, mixing, secrets, sharding, token_counts, toxicity, warc
+from . import cross_tokens, decontamination, edit_fingerprint, jaccard_join, language_id, main_text, mixing, resampling, secrets, sharding, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_edit_fingerprint": edit_fingerprint.op1_edit_fingerprint,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_cross_tokens": cross_tokens.op11_cross_tokens,
+    "op12_main_text": main_text.op12_main_text,
+    "op13_resampling": resampling.op13_resampling,
 }
 
 ORACLES = {
     "op3_rendezvous_sharding": sharding.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op13_resampling": resampling.ORACLE,
 }
