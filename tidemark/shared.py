@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +27,28 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet and read from there: lost executors cost no recomputation of what came before."""
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that stored() writes inside are removed at the end, but for those to be kept."""
+    outer = getattr(_scratch, "paths", None)
+    _scratch.paths = mine = []
+    try:
+        yield
+    finally:
+        _scratch.paths = outer
+        for path in mine:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df written once as Parquet and read from there: lost executors cost no recomputation of what came before. keep: past the end of scratch()."""
     path = folder(df.sparkSession, f"tidemark-{name}")
+    paths = getattr(_scratch, "paths", None)
+    if paths is not None and not keep:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
