@@ -9,6 +9,9 @@ from tidemark.functions import gains as A
 from tidemark.functions import rational as R
 from tidemark.operators import signals as G
 from tidemark.plans.derive import CLIPS, SIGNAL, clips, signal, table
+from tidemark.shared import folder
+from tidemark.sources import sound as S
+from tidemark.sources.pcm import write_pcm
 
 QUERIES, ORACLES = {}, {}
 
@@ -141,6 +144,36 @@ def mat9_render_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc", "ord", "k", (F.col("off") + F.col("k") * 10).alias("out_from"), (F.col("off") + stop).alias("out_to"), R.floor_div(F.col("k") * 30, F.lit(2)).alias("src_from"), R.floor_div(stop * 3, F.lit(2)).alias("src_to"))
 
 
+SEGMENTS = SIGNAL + """,
+sg AS (SELECT doc, ord, doc // 2048 AS stream, off, len AS n, ord * 7 + effect % 5 AS s0, len * (1 + tax % 3) // 2 + 1 AS m, 1 + disc % 3 AS gain, CASE WHEN disc % 2 = 1 THEN 4 ELSE 0 END AS fade FROM clip)"""
+
+
+def sound(spark: SparkSession, sf_dir: str, range_samples: int, row: int) -> DataFrame:
+    """Each stream's samples in a file of its own, read again in ranges."""
+    where = folder(spark, "sound").removeprefix("file://").removeprefix("file:")
+    S.put_files(write_pcm(signal(spark, sf_dir), ["stream"]).select(F.concat(F.col("stream").cast("string"), F.lit(".f32")).alias("name"), "content"), where)
+    spark.dataSource.register(S.Sound)
+    return spark.read.format("tidemark_sound").options(path=where, row=str(row), range=str(range_samples)).load()
+
+
+@query(f"WITH {SIGNAL} SELECT stream, i // 500 * 500 AS start, count(*)::INTEGER AS n, sum(x * (i % 500 + 1))::DOUBLE AS total, true AS ok FROM sig GROUP BY ALL")
+def src6_src7_split_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that no task reads whole: ranges of 1,000 samples, rows of 500; each sample at its place."""
+    total = F.aggregate(F.transform("samples", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return sound(spark, sf_dir, 1000, 500).select(F.split_part("file", F.lit("."), F.lit(1)).cast("long").alias("stream"), "start", F.size("samples").alias("n"), total.alias("total"), "ok")
+
+
+@query(f"""WITH {SEGMENTS}, o AS (SELECT *, unnest(range(n)) AS i FROM sg), g AS (SELECT doc, off + o.i AS place, x * gain * CASE WHEN o.i < fade THEN o.i / fade::DOUBLE ELSE 1 END AS y FROM o JOIN sig ON sig.stream = o.stream AND sig.i = s0 + o.i * m // n)
+SELECT doc, place, sum(y)::DOUBLE AS x FROM g GROUP BY ALL""")
+def mat9_agg9_rendered_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments rendered from files at their speeds, block by block, and mixed at their places."""
+    c, n = clips(spark, sf_dir), F.col("len")
+    segments = c.select("doc", F.concat(F.floor(F.col("doc") / 2048).cast("string"), F.lit(".f32")).alias("file"), F.col("off").alias("start_sample"), n.alias("samples"), (F.col("ord") * 7 + F.col("effect") % 5).alias("source_sample"), (S.whole(n * (1 + F.col("tax") % 3), 2) + 1).alias("source_samples"), (1 + F.col("disc") % 3).cast("double").alias("gain"), F.when(F.col("disc") % 2 == 1, 4).otherwise(0).cast("long").alias("fade_in"), F.lit(0).cast("long").alias("fade_out"))
+    parts = S.rendered(segments, sound(spark, sf_dir, 4000, 500), block=16, row=500)
+    mixed = G.mixed(parts.select("doc", F.col("start").alias("at"), F.col("samples").alias("xs"), F.lit(1.0).alias("gain")), ["doc"], 1024)
+    return mixed.select("doc", F.col("at").alias("place"), F.col("x").cast("double").alias("x"))
+
+
 @query(f"WITH {SIGNAL} SELECT stream, i, round_even(least(greatest(x / 4.0::DOUBLE, -1), 1) * 32767, 0)::INTEGER AS pcm FROM sig")
 def snk7_pcm16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal(spark, sf_dir).select("stream", "i", G.pcm16(F.col("x") / 4.0).alias("pcm"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.derive import INTERVALS, intervals, table
 from tidemark.streaming import jobs as J
+from tidemark.streaming import live as L
 
 QUERIES, ORACLES = {}, {}
 
@@ -46,8 +47,8 @@ g(u, k, id, ok, stop, text, run) AS (SELECT u, k, id, true, e, event_type, 1 FRO
 SELECT u, id, ok, CASE WHEN ok THEN run ELSE 0 END AS run FROM g""")
 def stm2_stm3_stm4_ordered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.unix_micros(F.col("ts").cast("timestamp"))
-    s = event_stream(spark, sf_dir).select(F.col("user_id").alias("u"), F.col("event_id").alias("id"), b.alias("b"), (b + F.round(F.col("value") * 1000).cast("long") * 1000).alias("e"), F.col("event_type").alias("text"))
-    return J.run_to_files(J.ordered_runs(s, "u"), J.folder(spark, "runs"))
+    s = table(spark, sf_dir, "events").select(F.col("user_id").alias("u"), F.col("event_id").alias("id"), b.alias("b"), (b + F.round(F.col("value") * 1000).cast("long") * 1000).alias("e"), F.col("event_type").alias("text"))
+    return L.grown(J.thirds(s, "b"), J.folder(spark, "runs"), lambda stream: J.ordered_runs(stream, "u"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 'failed' ELSE 'done' END AS status FROM events")
@@ -113,8 +114,52 @@ r AS (SELECT *, sum(new) OVER (PARTITION BY u ORDER BY b, id) AS run FROM n) SEL
 def stm4_updated_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warnings whose end moves while the run goes on: every update is a row, the newest of each counts."""
     b = F.unix_micros(F.col("ts").cast("timestamp"))
-    s = event_stream(spark, sf_dir).select(F.col("user_id").alias("u"), F.col("event_id").alias("id"), b.alias("b"), F.col("event_type").alias("text"))
-    return J.latest(J.run_to_files(J.repeat_warnings(s, "u"), J.folder(spark, "warnings")), ["u", "first"])
+    s = table(spark, sf_dir, "events").select(F.col("user_id").alias("u"), F.col("event_id").alias("id"), b.alias("b"), F.col("event_type").alias("text"))
+    return J.latest(L.grown(J.thirds(s, "b"), J.folder(spark, "warnings"), lambda stream: J.repeat_warnings(stream, "u")), ["u", "first"])
+
+
+@query(f"""WITH RECURSIVE {INTERVALS}, n AS (SELECT u, id, b, b + 1 AS e, event_type, row_number() OVER (PARTITION BY u ORDER BY b, id) AS k FROM iv),
+g(u, k, id, b, ok, stop, chunks, text, first, run) AS (SELECT u, k, id, b, true, e, 1, event_type, id, 1 FROM n WHERE k = 1
+ UNION ALL SELECT n.u, n.k, n.id, n.b, n.b >= stop, CASE WHEN n.b >= stop THEN n.e ELSE stop END, chunks + (n.b >= stop)::INTEGER, CASE WHEN n.b >= stop THEN event_type ELSE text END,
+  CASE WHEN n.b >= stop AND event_type <> text THEN n.id ELSE first END, CASE WHEN n.b < stop THEN run WHEN event_type = text THEN run + 1 ELSE 1 END FROM g JOIN n ON n.u = g.u AND n.k = g.k + 1),
+s AS (SELECT *, sum((ok AND run = 3)::INTEGER) OVER (PARTITION BY u ORDER BY k) AS warnings FROM g)
+SELECT u, CASE WHEN ok THEN 'record' ELSE 'error' END AS kind, id, CASE WHEN ok THEN chunks ELSE 0 END AS n, 0 AS version FROM s WHERE NOT ok OR chunks <= 40
+UNION ALL SELECT u, 'warning', first, run, run - 2 FROM s WHERE ok AND run >= 3 AND warnings <= 5""")
+def stm2_stm3_stm4_win18_diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed state with bounds (40 records, 5 warnings a user), over a folder that grows and a query that stops twice."""
+    b = F.unix_micros(F.col("ts").cast("timestamp"))
+    s = table(spark, sf_dir, "events").select(F.col("user_id").alias("u"), F.col("event_id").alias("id"), b.alias("b"), (b + 1).alias("e"), F.col("event_type").alias("text"))
+    return L.grown(J.thirds(s, "b"), J.folder(spark, "diagnosed"), lambda stream: L.diagnosed(stream, "u", exact=False, most_chunks=40, most_warnings=5)).select("u", "kind", "id", "n", "version")
+
+
+@query("SELECT event_id, (props->>'page')::VARCHAR AS page FROM events")
+def src12_growing_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of JSON lines that grow twice, the first time in the middle of a line: each event once, by byte offsets."""
+    where = J.folder(spark, "logs")
+    spark.dataSource.register(L.LogTail)
+    lines = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"p":'), "props", F.lit("}")).alias("line"), F.floor(F.col("event_id") / 2000).alias("log"))
+    for half in (0, 1):
+        L.append_lines(lines, f"{where}/in", half)
+        out = J.run_to_files(spark.readStream.format("tidemark_log_tail").option("path", f"{where}/in").load(), where)
+    return out.select(F.get_json_object("line", "$.id").cast("long").alias("event_id"), F.get_json_object("line", "$.p.page").alias("page"))
+
+
+@query("SELECT n_nationkey AS nation, CASE WHEN n_nationkey % 6 = 5 THEN 'cancelled' ELSE 'done' END AS status, CASE WHEN n_nationkey % 6 <> 5 THEN (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) END AS customers FROM nation")
+def stm1_stm5_snk5_served_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request folder for each nation, served by name, one at a time; some are cancelled before. The answers are read from the files."""
+    where = J.folder(spark, "queue")
+    key = F.lpad(F.col("n_nationkey").cast("string"), 4, "0")
+    nations = table(spark, sf_dir, "nation").select(key.alias("name"), F.to_json(F.struct(F.col("n_nationkey").alias("nation"))).alias("request"), (F.col("n_nationkey") % 6 == 5).alias("cancelled"))
+    L.put_requests(nations, f"{where}/in")
+    customers = table(spark, sf_dir, "customer")
+
+    def work(df: DataFrame) -> DataFrame:
+        asked = df.withColumn("nation", F.get_json_object("request", "$.nation").cast("int"))
+        return asked.join(customers, F.col("nation") == F.col("c_nationkey"), "left").groupBy("name").agg(F.count("c_custkey").alias("result"))
+
+    L.serve(spark, f"{where}/in", where, work, listener=False)
+    answers = spark.read.schema("status string, result string").json(f"{where}/in/*/response.json").withColumn("nation", F.regexp_extract(F.input_file_name(), r"/(\d+)/response", 1).cast("int"))
+    return answers.select("nation", "status", F.col("result").cast("long").alias("customers"))
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import intervals as I  # noqa: E741
@@ -99,6 +99,11 @@ def join15_point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 MAP = CLIPS + ", pts AS (SELECT doc, off AS out, off * 2 + CASE WHEN disc = 0 THEN -4 WHEN disc = 1 THEN 5 ELSE disc END AS src FROM clip), seg AS (SELECT *, CASE WHEN src_end < src THEN 'reverse' WHEN src_end = src THEN 'freeze' ELSE 'play' END AS reason FROM (SELECT *, lead(out) OVER (PARTITION BY doc ORDER BY out) AS out_end, lead(src) OVER (PARTITION BY doc ORDER BY out) AS src_end FROM pts) WHERE out_end IS NOT NULL)"
 
 
+def within_a_frame(a: Column, b: Column, num: Column, den: Column, unit: int = 1200, rate: int = 16000) -> Column:
+    """FIL21: whether lengths a and b, in units of 1 / `unit` s, differ by at most the longer of a frame (den / num s) and a sample."""
+    return F.abs(a - b) * num.cast("long") * rate <= F.greatest(F.lit(unit).cast("long") * den * rate, F.lit(unit).cast("long") * num)
+
+
 def time_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = F.col("off") * 2 + F.when(F.col("disc") == 0, -4).when(F.col("disc") == 1, 5).otherwise(F.col("disc"))
     return I.piecewise(clips(spark, sf_dir).select("doc", F.col("off").alias("out"), src.alias("src")), ["doc"])
@@ -115,10 +120,11 @@ def join6_join7_inverse_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.inverse_ranges(ranges, time_map(spark, sf_dir), ["doc"])
 
 
-@query(f"WITH {CLIPS} SELECT doc, max(off + len) AS end, min(off) AS low, max(off + len) = sum(len) AS whole FROM clip GROUP BY doc")
+@query(f"WITH {CLIPS} SELECT doc, max(off + len + tax) AS end, min(off - disc) AS low, max(off + len + tax) = sum(len) AS whole FROM clip WHERE asset % 3 <> 0 GROUP BY doc")
 def agg11_agg12_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    end = F.col("off") + F.col("len")
-    return clips(spark, sf_dir).groupBy("doc").agg(F.max(end).alias("end"), F.min("off").alias("low"), (F.max(end) == F.sum("len")).alias("whole"))
+    """The hull of what is heard, with handles on both sides; whole where it ends just where all clips that are heard would, one after the other."""
+    end = F.col("off") + F.col("len") + F.col("tax")
+    return clips(spark, sf_dir).where("asset % 3 <> 0").groupBy("doc").agg(F.max(end).alias("end"), F.min(F.col("off") - F.col("disc")).alias("low"), (F.max(end) == F.sum("len")).alias("whole"))
 
 
 @query(f"WITH {CLIPS} SELECT doc, ord, 'gap-' || reason AS kind FROM (SELECT *, CASE WHEN len * 40 < 160 THEN 'short' WHEN split_part(role, '.', 1) = 'music' THEN 'role' END AS reason FROM clip) WHERE reason IS NOT NULL AND len >= 1")
@@ -146,16 +152,21 @@ def win15_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("doc", "ord", verdict.alias("verdict"))
 
 
-@query(f"WITH {CLIPS} SELECT doc, ord, CASE WHEN over > 0 AND over * 16 <= 16 THEN asset_len ELSE take END AS take, over > 1 AS refused FROM (SELECT doc, ord, len + disc % 3 AS take, len + 1 AS asset_len, len + disc % 3 - (len + 1) AS over FROM clip)")
+@query(f"WITH {CLIPS} SELECT doc, ord, CASE WHEN over > 0 AND over * 16 <= 16 THEN asset_len ELSE take END AS take, over > 1 AS refused FROM (SELECT doc, ord, len + disc % 5 AS take, len + 1 AS asset_len, len + disc % 5 - (len + 1) AS over FROM clip)")
 def tim7_overshoot_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    take, have = F.col("len") + F.col("disc") % 3, F.col("len") + 1
+    take, have = F.col("len") + F.col("disc") % 5, F.col("len") + 1
     over = take - have
     return clips(spark, sf_dir).select("doc", "ord", F.when((over > 0) & (over <= 1), have).otherwise(take).alias("take"), (over > 1).alias("refused"))
 
 
-@query(f"WITH {CLIPS} SELECT doc, abs(sum(len) - (sum(len) + doc % 4 - 1)) <= greatest(2, 1) AS ok FROM clip GROUP BY doc")
+@query(f"""WITH {CLIPS}, d AS (SELECT doc, sum(len) AS n, sum(disc) AS told, CASE doc % 3 WHEN 0 THEN 24000 WHEN 1 THEN 25000 ELSE 30000 END::BIGINT AS num, CASE doc % 3 WHEN 1 THEN 1000 ELSE 1001 END::BIGINT AS den FROM clip GROUP BY doc)
+SELECT doc, abs(told * 5 - n) * num * 16000 <= greatest(1200 * den * 16000, 1200 * num) AS ok FROM d""")
 def fil21_duration_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clips(spark, sf_dir).groupBy("doc").agg(F.sum("len").alias("n")).select("doc", (F.abs(F.col("n") - (F.col("n") + F.pmod("doc", F.lit(4)) - 1)) <= 2).alias("ok"))
+    """The sound's length (frames of 1/1200 s) against the project's: apart by at most a frame of its own rate, or a sample, in whole numbers."""
+    rate = F.pmod("doc", F.lit(3))
+    d = clips(spark, sf_dir).groupBy("doc").agg(F.sum("len").alias("n"), F.sum("disc").alias("told"))
+    num, den = F.when(rate == 0, 24000).when(rate == 1, 25000).otherwise(30000), F.when(rate == 1, 1000).otherwise(1001)
+    return d.select("doc", within_a_frame(F.col("told") * 5, F.col("n"), num, den).alias("ok"))
 
 
 @query(f"""WITH RECURSIVE {INTERVALS}, n AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY b, e - b DESC, id) AS k FROM iv),

@@ -27,6 +27,12 @@ def run_to_files(stream: DataFrame, where: str, mode: str = "append") -> DataFra
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{where}/rows")
 
 
+def thirds(rows: DataFrame, order: str) -> list[DataFrame]:
+    """Rows in three parts by their order, so that a stream can be given one after the other."""
+    low, high = rows.agg(F.percentile_approx(order, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("c")).first()[0] or (0, 0)
+    return [rows.where(F.col(order) <= low), rows.where((F.col(order) > low) & (F.col(order) <= high)), rows.where(F.col(order) > high)]
+
+
 def ordered_runs(stream: DataFrame, key: str) -> DataFrame:
     """STM2, STM3: per key, each chunk (id, b, e, text) must not begin before the last one ended; equal texts in a row are counted.
 

@@ -134,6 +134,38 @@ class LogTail(DataSource):
         return _TailReader(self.options)
 
 
+def append_lines(lines: DataFrame, where: str, half: int) -> None:
+    """Appends to a log for each value of `log`: first what comes before the middle of the middle line, then the rest. One task writes a log."""
+    folder = local(where)
+
+    def put(table: pa.Table) -> pa.Table:
+        os.makedirs(folder, exist_ok=True)
+        rows = table.sort_by("event_id").column("line").to_pylist()
+        text = "".join(x + "\n" for x in rows).encode()
+        middle = sum(len(x.encode()) + 1 for x in rows[: len(rows) // 2]) + 3
+        path = f"{folder}/{table.column('log')[0].as_py()}.ndjson"
+        with open(path, "r+b" if os.path.exists(path) else "wb") as f:  # at its place, so a task that runs again writes the same
+            f.seek(middle if half else 0)
+            f.write(text[middle:] if half else text[:middle])
+        return pa.table({"log": table.column("log").slice(0, 1)})
+
+    lines.groupBy("log").applyInArrow(put, f"log {dict(lines.dtypes)['log']}").collect()
+
+
+def put_requests(rows: DataFrame, where: str) -> None:
+    """Folders of a queue from rows (name, request, cancelled)."""
+    folder = local(where)
+
+    def put(part: Iterator[Row]) -> None:
+        for r in part:
+            os.makedirs(f"{folder}/{r['name']}", exist_ok=True)
+            if r["cancelled"]:
+                replaced(f"{folder}/{r['name']}/cancel.json", b"{}")
+            replaced(f"{folder}/{r['name']}/request.json", r["request"].encode())
+
+    rows.foreachPartition(put)
+
+
 # Request queues.
 
 
