@@ -34,9 +34,9 @@ from .common import gathered, read, scratch, stored
 from .token_counts import byte_letters
 
 #: Bytes of texts that a slice has; its distinct pairs are shuffled, so a longer slice moves less.
-SLICE = 4_000_000
+SLICE = 2_000_000
 #: Chunks that a worker remembers, and their characters; beyond that it begins anew.
-MOST_CHUNKS, MOST_CHARS = 400_000, 8_000_000
+MOST_CHUNKS, MOST_CHARS = 250_000, 5_000_000
 #: Groups whose A times B tokens are more than this are counted by distinct ids, not spread out.
 WIDE = 4096
 
