@@ -1,5 +1,11 @@
 """The corpus pipeline: language identification, one document of each group of near copies, benchmark
-passages cut out, sources mixed to target weights, shards. Each stage works on what the one before kept."""
+passages cut out, sources mixed to target weights, shards. Each stage works on what the one before kept.
+
+Defined results: NULL texts, empty ones and those without a letter go with the first stage; without any labelled row it keeps all that have a letter. A
+row without a doc_id is kept as any other; rows equal in doc_id and text are copies, of which one stays, and ties go to the least key, then the least hash of the
+text. A very long text is one slice in every stage and is never cut short. A document that held nothing but benchmark passages stays with what is left of it. An empty table gives an empty
+table with the same columns. Columns beyond doc_id, text, lang, source and n_chars go along; one that has the name of a result of the last
+stage comes back as source_<name>."""
 
 from __future__ import annotations
 
