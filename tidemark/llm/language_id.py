@@ -8,8 +8,8 @@ a higher level, and the bytes of that end alone are taken off. A text is rejecte
 total is close to the smallest, or when it has no letter at all. drop_rejected keeps a text of one block
 whose best totals are equal: that is no evidence against it, such as a single word that no dictionary has.
 
-Learning uses a bounded sample: DOCS_PER_LANGUAGE rows of each language, those with the least hash of key and text (rows equal
-in both count once), and DICTIONARY_BYTES of each dictionary, taken in equal shares from them. Everything else covers all rows.
+Learning uses a bounded sample: DOCS_PER_LANGUAGE rows of each language, those with the least key hash (rows without a key go by
+their text; of rows that repeat a key the least text counts), and DICTIONARY_BYTES of each dictionary, taken in equal shares from them. Everything else covers all rows.
 
 Defined results: a NULL text and one without a letter are `und`, score 0, rejected; ties between
 languages go to the first in sort order; rows without a lang are not learned from; without any labelled
@@ -53,8 +53,9 @@ def learn(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str =
         raise ValueError(f"more than {MOST_LANGUAGES} labels: their dictionaries are sent to every worker")
     # One scan: the share of rows that gives twice those needed, then the least hashes of these.
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.1, 2.0 * per_language / n))])
-    # Key and text are hashed together, so that rows without a key, or of one key, are as many different rows; equal ones count once, before they move.
-    hashed = rows.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"), keyed_uniform(F.col(key), F.col(text)).alias("u"))
+    # Rows without a key go by their text; of rows of one key and label the least text counts, before they move.
+    named = [F.col(key).cast("string"), F.when(F.col(key).isNull(), F.col(text))]
+    hashed = rows.select(F.col(label).alias("label"), F.col(text).alias("text"), F.when(F.col(key).isNull(), F.xxhash64(*named)).otherwise(F.xxhash64(F.col(key))).alias("h"), F.when(F.col(key).isNull(), keyed_uniform(*named)).otherwise(keyed_uniform(F.col(key))).alias("u"))
     some = hashed.where(F.col("u") < F.element_at(rate, F.col("label"))).groupBy("label", "h").agg(F.min("text").alias("text"))
     first = Window.partitionBy("label").orderBy("h", "text")
     picked = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("label")))
