@@ -105,6 +105,42 @@ def test_depths_follow_from_what_a_set_can_have():
     assert d[3] == jaccard_join.LONGEST > d[4] == d[-1] == jaccard_join.prefix_length()
 
 
+def test_prefixes_shorten_by_what_they_meet(spark):
+    """Texts without company keep the longest prefix; texts near others shorten it, at any number of ranges."""
+    rng = random.Random(8)
+    texts = {i: " ".join(words_like(rng, 90)) for i in range(200)}
+    for i in range(200, 260):
+        w = texts[i - 200].split()
+        w[45] = "other"
+        texts[i] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    classes = jaccard_join.described(docs, "doc_id", "text", 0.8, 0.999)
+    depth = {}
+    met = jaccard_join.company(classes, jaccard_join.EVIDENCE)
+    for r in jaccard_join.with_depths(met, 0.8, 0.999).join(classes, "h1").select("key", "depth").collect():
+        depth[r.key] = r.depth
+    near = {i for i in texts if i < 60 or i >= 200}
+    assert all(depth[i] == 7 for i in near)
+    assert all(depth.get(i, 8) == 8 for i in texts if i not in near)
+
+
+def test_spent_chance_of_missing():
+    """All tests together, worked out tree by tree, leave no more than the target's chance of a miss."""
+    rng = np.random.default_rng(2)
+    for target in (0.9, 0.99, 0.999):
+        for least, by_depth in jaccard_join.enough_company(0.8, target).items():
+            s = 0.8
+            levels = rng.geometric(1 - s, (200_000, jaccard_join.TREES)) - 1  # levels that two texts of similarity s share
+            deepest, kept = levels.max(1), np.zeros(200_000, bool)
+            for k, most in by_depth.items():
+                few = np.zeros(200_000, bool)
+                for j, c in most.items():
+                    few |= (levels >= j).sum(1) <= c
+                kept |= few & (deepest < k)
+            missed = kept | (deepest < least)
+            assert missed.mean() <= (1 - target) * 1.1 + 1e-4
+
+
 def test_runs_of_sorted_labels_are_trie_nodes():
     rng = np.random.default_rng(5)
     depth = rng.integers(2, 5, 300)

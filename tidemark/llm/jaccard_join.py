@@ -6,10 +6,13 @@ are sorted, tree by tree: a sorted run of labels that share a prefix is a node o
 what neighbours in the order have in common is the depth of their lowest common node. Then:
 
 1. Equal word sequences become one class (copies are counted, not paired).
-2. Every text shortens its prefix from LONGEST until it would meet, with probability TARGET, a text of the least
-   similarity that reaches the threshold and that a set of its size can have at all: a set of three shingles
-   has none below 1, so it stays at LONGEST. The run of its prefix is matched with it in each tree.
-   Runs are found from neighbours alone, in one pass over each sorted range, and are linked to
+2. Every text shortens its prefix from LONGEST until its recall reaches TARGET by what it met. A first pass over the sorted labels
+   tells the depth of each label's company, so the number of trees in which a text has company at each depth is known. A text of the
+   threshold's similarity that was not met at depth k would leave company in a binomial number of trees at the depths above k; a text
+   with so little company that such a neighbour is too unlikely keeps its prefix, all others shorten it, at most
+   to the depth at which the chance alone gives TARGET for the least similarity that reaches the threshold and that a set of its size can
+   have at all (a set of three shingles has none below 1, so it stays at LONGEST). The run of the prefix is matched with the text in each tree.
+   Runs are found in a second pass, over the labels that have company, from neighbours alone, and are linked to
    their least text; ranges may cut a run anywhere, so a run may hold any share of the rows.
 3. Linked texts are components of candidates, which are verified exactly, all pairs of shingle sets inside them, in
    blocks of a bounded number of shingles: a large component is the set of its block pairs, each a group of its own,
@@ -25,10 +28,11 @@ read nor returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stored, gathered, read, scratch, slices, stored
@@ -45,6 +49,8 @@ LEVEL, HALF, DEPTH_BITS = 14, 4, 4
 HOT = 1000
 #: Sets of up to so many shingles have a depth of their own.
 SMALL = 64
+#: Company is counted from this level on; what meets above it (28 bits) may meet by chance in a large table.
+EVIDENCE = 3
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _ORDER = _rng.integers(1 << 30, size=(BINS, BINS), dtype=np.int32)
@@ -73,6 +79,40 @@ def depths(threshold: float, target: float) -> np.ndarray:
     return np.array([LONGEST] + [prefix_length(least_similarity(n, threshold), target) for n in range(1, SMALL + 1)] + [prefix_length(threshold, target)], np.int64)
 
 
+def enough_company(threshold: float, target: float) -> dict[int, dict[int, dict[int, int]]]:
+    """By least depth of a text, by depth k, by level j: the most trees with company at level j for which the text need not shorten below k.
+
+    A neighbour of similarity s that meets the text at depth k in no tree shares level j < k in a binomial number of trees with
+    chance (s^j - s^k) / (1 - s^k) each. What the least depth leaves of 1 - target is spent in equal parts on all (k, j)."""
+    sims = [least_similarity(n, threshold) for n in range(1, SMALL + 1)] + [threshold]
+    by_size = depths(threshold, target)[1:].tolist()
+    out: dict[int, dict[int, dict[int, int]]] = {}
+    for least in sorted(set(by_size) - {LONGEST}):
+        s = min(x for x, d in zip(sims, by_size, strict=True) if d == least)
+        tests = [(k, j) for k in range(least + 1, LONGEST + 1) for j in range(EVIDENCE, k)]
+        part = max(0.0, 1 - target - (1 - s**least) ** TREES) / max(1, len(tests))
+        for k, j in tests:
+            q, below, c = (s**j - s**k) / (1 - s**k), 0.0, 0
+            while c <= TREES and (1 - s**k) ** TREES * (below + comb(TREES, c) * q**c * (1 - q) ** (TREES - c)) <= part:
+                below += comb(TREES, c) * q**c * (1 - q) ** (TREES - c)
+                c += 1
+            if c:
+                out.setdefault(least, {}).setdefault(k, {})[j] = c - 1
+    return out
+
+
+def chosen_depth(least: Column, company: dict[int, Column], threshold: float, target: float) -> Column:
+    """The depth of a text by its least depth and its trees with company at each level."""
+    told = F.lit(None).cast("int")
+    for d, by_depth in enough_company(threshold, target).items():
+        for k, most in sorted(by_depth.items()):  # the longest prefix is asked first
+            few = F.lit(False)
+            for j, c in most.items():
+                few |= company[j] <= c
+            told = F.when((least == d) & few, F.lit(k)).otherwise(told)
+    return F.coalesce(told, least.cast("int"))
+
+
 def signatures(s: Shingled) -> np.ndarray:
     """Hashes of each text, (texts, BINS); texts without shingles have NONE."""
     n = len(s.words)
@@ -149,11 +189,10 @@ def described(docs: DataFrame, key: str, text: str, threshold: float, target: fl
     return rows.mapInArrow(run, f"key {kind}, th long, h1 long, h2 long, words long, labels binary")
 
 
-def forest_links(classes: DataFrame, floor: int) -> DataFrame:
-    """a, b (h1 of two texts): what connects the texts of every matched run. floor: the least depth of any text.
+def company(classes: DataFrame, floor: int) -> DataFrame:
+    """l1, l2, h1, met of the labels that share at least floor levels with another: met is the most levels shared, which a neighbour in the order has.
 
-    Labels are dealt into sorted ranges; each range is walked once. Runs that a range's border cuts are put together by
-    the name of their floor prefix, from the two outermost labels of each range."""
+    The outermost labels of a range, whose neighbour lies in another one, count as meeting at LONGEST: that can only shorten a prefix."""
 
     def planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,6 +201,45 @@ def forest_links(classes: DataFrame, floor: int) -> DataFrame:
                 nodes = np.repeat(b.column("h1").to_numpy(), TREES)
                 yield pa.RecordBatch.from_arrays([pa.array(words[:, 0]), pa.array(words[:, 1]), pa.array(nodes)], ["l1", "l2", "h1"])
 
+    def met_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, node = np.empty((0, 2), np.int64), np.empty(0, np.int64)
+        before = LONGEST  # levels that the first label held has in common with the one before it
+
+        def told(met: np.ndarray) -> pa.RecordBatch:
+            some = np.flatnonzero(met >= floor)
+            return pa.RecordBatch.from_arrays([pa.array(label[some, 0]), pa.array(label[some, 1]), pa.array(node[some]), pa.array(met[some].astype(np.int32))], ["l1", "l2", "h1", "met"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            label = np.concatenate([label, np.stack([b.column("l1").to_numpy(), b.column("l2").to_numpy()], 1)])
+            node = np.concatenate([node, b.column("h1").to_numpy()])
+            near = np.concatenate([[before], common_levels(label[:-1], label[1:])])
+            # The last label waits for its neighbour.
+            yield told(np.maximum(near[:-1], near[1:]))
+            label, node, before = label[-1:], node[-1:], int(near[-1])
+        if len(node):
+            yield told(np.array([LONGEST]))
+
+    order = ["l1", "l2", "h1"]
+    leaves = classes.select("labels", "h1").mapInArrow(planted, "l1 long, l2 long, h1 long")
+    return leaves.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(met_in, "l1 long, l2 long, h1 long, met int")
+
+
+def with_depths(met: DataFrame, threshold: float, target: float) -> DataFrame:
+    """h1, depth of each text that has a label with company."""
+    least = F.min(F.col("l2").bitwiseAND((1 << DEPTH_BITS) - 1)).alias("least")
+    counts = met.groupBy("h1").agg(least, *[F.count_if(F.col("met") >= j).alias(f"c{j}") for j in range(EVIDENCE, LONGEST)])
+    return counts.select("h1", chosen_depth(F.col("least"), {j: F.col(f"c{j}") for j in range(EVIDENCE, LONGEST)}, threshold, target).alias("depth"))
+
+
+def forest_links(classes: DataFrame, threshold: float, target: float) -> DataFrame:
+    """a, b (h1 of two texts): what connects the texts of every matched run.
+
+    Labels that have company are dealt into sorted ranges, each with its text's depth; each range is walked once. Runs that a range's border cuts are put
+    together by the name of their prefix of the least depth of any text, from the two outermost labels of each range."""
+    floor = int(depths(threshold, target).min())
+
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label, node = np.empty((0, 2), np.int64), np.empty(0, np.int64)
         border: list[tuple[int, int]] = []
@@ -186,7 +264,10 @@ def forest_links(classes: DataFrame, floor: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in border]), pa.array([x[1] for x in border]), pa.array([False] * 2)], ["a", "b", "link"])
 
     order = ["l1", "l2", "h1"]
-    leaves = classes.select("labels", "h1").mapInArrow(planted, "l1 long, l2 long, h1 long")
+    met = stored(company(classes, min(floor, EVIDENCE)), "company")
+    bits = F.lit((1 << DEPTH_BITS) - 1).cast("long")
+    deep = met.where(F.col("met") >= floor).join(with_depths(met, threshold, target), "h1")
+    leaves = deep.select("l1", F.col("l2").bitwiseAND(F.bitwise_not(bits)).bitwiseOR(F.col("depth").cast("long")).alias("l2"), "h1")
     found = stored(leaves.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(walked, "a long, b long, link boolean"), "forest")
     border = found.where("NOT link").select("a", F.col("b").alias("prefix"))
     across = border.join(border.groupBy("prefix").agg(F.min("a").alias("b")), "prefix").where("a <> b").select("a", "b")
@@ -343,12 +424,11 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
 
 
 def _classes(docs: DataFrame, key: str, text: str, threshold: float, target: float) -> DataFrame:
-    floor = int(depths(threshold, target).min())
     rows = stored(described(docs, key, text, threshold, target), "signatures")
     worded = rows.where("words > 0")
     least = F.min(F.struct(F.col("key").isNull().alias("n"), F.col("key"), F.col("th")))
     classes = stored(worded.groupBy("h1", "h2", "labels").agg(least.alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("words").alias("words")).select("h1", "h2", F.col("rep.key").alias("key"), F.col("rep.th").alias("th"), "copies", "words", "labels"), "classes")
-    labels = components(forest_links(classes, floor))
+    labels = components(forest_links(classes, threshold, target))
     members = stored(classes.drop("labels").join(labels, F.col("h1") == F.col("node")).drop("node"), "members")
     sizes = members.groupBy("label").agg(F.ceil(F.greatest(F.sum("words") / BLOCK, F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"))
     found = stored(linked(members.join(sizes, "label").select("key", "th", "h1", "h2", "copies", "label", "blocks"), docs, key, text, threshold), "links")
