@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("tokens", "spans", "matches", "audio", "folding", "nested", "queue", "media", "projects")
+MODULES: tuple[str, ...] = ("tokens", "spans", "matches", "audio", "folding", "nested", "queue", "media", "projects", "channels")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
