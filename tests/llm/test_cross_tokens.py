@@ -133,3 +133,72 @@ def test_wide_groups_are_counted_by_ids(plain, monkeypatch):
     for code, n in zip(pair.code[at].tolist(), pair.times[at].tolist(), strict=True):
         got[code >> 32, code & 0xFFFFFFFF] += n
     assert got == Counter((x, y) for a, b in plain(text) for x in a for y in b)
+
+
+@pytest.fixture(scope="module")
+def pair():
+    return cross_tokens.Pair(open(A, "rb").read(), open(B, "rb").read())
+
+
+class Counted:
+    """A tokenizer that counts the texts that it encodes."""
+
+    def __init__(self, inner):
+        self.inner, self.texts = inner, 0
+
+    def __getattr__(self, name):
+        def call(texts, **options):
+            self.texts += len(texts)
+            return getattr(self.inner, name)(texts, **options)
+
+        return call
+
+
+def told(groups):
+    return ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups).encode()
+
+
+def test_new_chunks_share_texts(pair, plain, monkeypatch):
+    """A call for each new chunk took half of the slices' CPU time."""
+    words = [f"wo{i * 7919 % 3001}rd{i}" for i in range(3000)] + [" white edges ", "tail\n", "ﬁ", " x"]
+    pair.forget()
+    monkeypatch.setattr(pair, "a", Counted(pair.a))
+    numbers = pair.numbers(words)
+    assert pair.a.texts <= len(words) // 10
+    assert [pair.groups[i] for i in numbers] == [told(plain(w)) for w in words]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(min_size=1, max_size=12) | st.sampled_from(["ab cd", "ﬁ", "Ａ x", "\n", " y", "z ", "▁a b", "<|endoftext|> q", "\x1c a", "é ́b"]), max_size=150))
+def test_joined_chunks_are_as_alone(pair, plain, texts):
+    pair.forget()
+    chunks = [c for t in texts for c in pair.chunks(t)]
+    numbers = pair.numbers(chunks).tolist()
+    want = [plain(c) for c in chunks]
+    assert [pair.groups[i] for i in numbers] == list(map(told, want))
+    assert [bool(pair.good[i]) for i in numbers] == [bool(g) for g in want]
+    links = [Counter((x, y) for a, b in g for x in a for y in b) for g in want]
+    assert pair.counts[numbers].tolist() == [[sum(len(a) for a, _ in g), sum(len(b) for _, b in g), len(g), sum(n.values())] for g, n in zip(want, links, strict=True)]
+    for i, n in zip(numbers, links, strict=True):
+        at = slice(pair.begin[i], pair.begin[i + 1])
+        assert {(c >> 32, c & 0xFFFFFFFF): k for c, k in zip(pair.code[at].tolist(), pair.times[at].tolist(), strict=True)} == n
+
+
+def test_where_tokens_do_not_spell_the_text(pair, plain, monkeypatch):
+    """A vocabulary that writes some bytes otherwise: only those chunks are bad, whatever they are encoded beside."""
+    chunks = ["plain", "words", "Zebra", "more words", "a Zebra b", "end"]
+    spelt = pair.bytes_a.copy()
+    for i in {i for c in ("Zebra", "a Zebra b") for i in pair.a.encode(" " + c, add_special_tokens=False).ids} - {i for c in ("plain", "words", "more words", "end", "a b") for i in pair.a.encode(" " + c, add_special_tokens=False).ids}:
+        spelt[i] = b"?" * len(spelt[i])
+    pair.forget()
+    monkeypatch.setattr(pair, "bytes_a", spelt)
+    numbers = pair.numbers(chunks)
+    assert pair.good[numbers].tolist() == [True, True, False, True, False, True]
+    assert [pair.groups[i] for i in numbers] == [b"" if "Z" in c else told(plain(c)) for c in chunks]
+    pair.forget()
+
+
+@given(st.lists(st.sampled_from(["a", " ", "  ", "\n", "\x1c", " ", "́", "é"]) | st.text(max_size=3)).map("".join))
+def test_cuts_stand_between_characters_that_are_not_white(text):
+    places = [i for i in range(1, len(text) - 1) if text[i] == " " and not text[i - 1].isspace() and not text[i + 1].isspace()]
+    assert [m.start() for m in cross_tokens._CUT.finditer(text)] == places
